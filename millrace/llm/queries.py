@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, pieces, quality, secret_scan, sharding, simhash
+from . import langid, mixing, packing, pieces, quality, secret_scan, sharding, simhash, toxicity
 from .common import table
 
 
@@ -17,6 +17,10 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_table(table(spark, sf_dir, "documents"))
 
@@ -45,8 +49,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"), piece_model())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_langid, op3_sentencepiece, op4_sharding, op5_quality, op6_mixing, op7_secrets, op8_simhash)
+    found = (op1_toxicity, op2_langid, op3_sentencepiece, op4_sharding, op5_quality, op6_mixing, op7_secrets, op8_simhash, op9_packing)
     return {f.__name__: f for f in found}
 
 
