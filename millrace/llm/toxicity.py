@@ -1,9 +1,11 @@
 """Toxicity by nearest labelled examples.
 
 Up to EXAMPLES labelled documents of each class, in hash order, are the examples.
-The terms whose presence speaks for the toxic label in them (by the log-likelihood
-ratio of a two-by-two table) span the vector space. Every document becomes its
-TF-IDF vector there; document frequencies count all documents. The K examples of
+Terms are words and beginnings of words. Those whose presence speaks for the toxic
+label in the examples (by the log-likelihood ratio of a two-by-two table) span the
+vector space, with one more axis for all other words together, so that a vector
+tells how much of its text the terms make up. Every document becomes its TF-IDF
+vector there; document frequencies count all documents. The K examples of
 highest cosine are found exactly with a block-max inverted index: examples stand
 in blocks, each term has its largest weight per block, and blocks are visited in
 order of their bound until no other can hold a nearer example. Votes are weighted
@@ -19,6 +21,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +29,18 @@ from .common import as_rows, bounded_arrow, cut
 
 #: Documented bounds: examples per class, terms, neighbours, and examples per block of the index.
 EXAMPLES, TERMS, K, BLOCK = 4000, 2000, 15, 64
-#: A term is used if it is in at least so many examples, and its log-likelihood ratio is at least this.
-LEAST_EXAMPLES, LEAST_RATIO = 5, 20.0
-_terms = re.compile(r"[^\W\d_]+").findall
+#: A term is used if it is in at least so many examples, and its log-likelihood ratio is at least this and this share of the largest.
+LEAST_EXAMPLES, LEAST_RATIO, LEAST_SHARE = 5, 20.0, 0.05
+#: Lengths of the beginnings of words that are terms, and the weight of one word on the axis of all others.
+BEGINNINGS, OTHER = (4, 5, 6, 7), 0.05
+#: Words whose terms a worker remembers.
+REMEMBERED = 400_000
+_words = re.compile(r"[^\W\d_]+").findall
+
+
+def terms_of(word: str) -> list[str]:
+    """The word itself and its proper beginnings, marked by ^."""
+    return [word, *[f"^{word[:k]}" for k in BEGINNINGS if len(word) > k]]
 
 
 def held_out(doc_id: Column, parts: int = 5, part: int = 0) -> Column:
@@ -43,20 +55,32 @@ def examples(labels: DataFrame, each: int = EXAMPLES) -> DataFrame:
     return part(0).unionByName(part(1))
 
 
-def _with_terms(docs: DataFrame) -> DataFrame:
-    """(doc_id, toxic, terms) with the distinct terms of each text."""
+def family(text: str) -> int:
+    """The least hash of a text's 3-word shingles, which most near copies of it share."""
+    words = text.lower().encode().split()
+    shingles = zip(words, words[1:], words[2:]) if len(words) > 2 else [words]
+    return min(xxhash.xxh3_64_intdigest(b" ".join(s)) for s in shingles) - (1 << 63)
+
+
+def distinct_examples(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, toxic, terms) of the chosen documents, with the distinct terms of each text.
+
+    Of a family of near copies one is left, so that words which only one family
+    uses don't pass for signs of its label.
+    """
 
     def run(batches):
         for ids, toxic, texts in as_rows(batches, "doc_id", "toxic", "text"):
-            terms = [list(set(_terms((t or "").lower()))) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(toxic, pa.int32()), pa.array(terms, pa.list_(pa.string()))], names=["doc_id", "toxic", "terms"])
+            terms = [list({x for w in set(_words((t or "").lower())) for x in terms_of(w)}) for t in texts]
+            families = pa.array([family(t or "") for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(toxic, pa.int32()), pa.array(terms, pa.list_(pa.string())), families], names=["doc_id", "toxic", "terms", "family"])
 
-    return docs.mapInArrow(run, "doc_id long, toxic int, terms array<string>")
+    found = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, terms array<string>, family long")
+    return found.groupBy("family").agg(F.min(F.struct("doc_id", "toxic", "terms")).alias("first")).select("first.*")
 
 
-def vocabulary(docs: DataFrame, chosen: DataFrame, most: int = TERMS) -> list[str]:
-    """Terms that are commoner in toxic examples than in others, by falling log-likelihood ratio."""
-    found = cut(_with_terms(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")))
+def vocabulary(found: DataFrame, most: int = TERMS) -> list[str]:
+    """Terms that are commoner in toxic examples (doc_id, toxic, terms) than in others, by falling log-likelihood ratio."""
     n1, n = found.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     if not n1 or n1 == n:
         return []
@@ -65,32 +89,49 @@ def vocabulary(docs: DataFrame, chosen: DataFrame, most: int = TERMS) -> list[st
     part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
     ratio = 2 * (part(a, df * n1 / n) + part(df - a, df * (n - n1) / n) + part(n1 - a, (n - df) * n1 / n) + part(n - n1 - df + a, (n - df) * (n - n1) / n))
     rows = counts.filter((df >= LEAST_EXAMPLES) & (a / df > n1 / n)).withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO)
-    return [r[0] for r in rows.orderBy(F.col("ratio").desc(), "term").limit(most).select("term").collect()]
+    best = rows.orderBy(F.col("ratio").desc(), "term").limit(most).select("term", "ratio").collect()
+    return [r[0] for r in best if r[1] >= LEAST_SHARE * best[0][1]]
 
 
 def term_counts(docs: DataFrame, words: list[str]) -> DataFrame:
-    """(doc_id, terms, counts): places in words of the terms of every whole text, with how often it has them."""
+    """(doc_id, terms, counts, others): the terms of every whole text (their places in words), how often it has them, and its words without any."""
     bounded_arrow(docs.sparkSession)
     place = {w: i for i, w in enumerate(words)}
 
     def run(batches):
-        get = place.get
+        memory: dict[str, tuple[int, ...]] = {}
         for b in batches:
-            terms, counts = [], []
-            for t in b.column(1).to_pylist():
-                found = sorted(Counter(i for w in _terms(t.lower()) if (i := get(w)) is not None).items()) if t else []
-                terms.append([i for i, _ in found])
-                counts.append([n for _, n in found])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["doc_id", "terms", "counts"])
+            lists = [_words(t.lower()) if t else [] for t in b.column(1).to_pylist()]
+            coded = pa.array([w for x in lists for w in x], pa.string()).dictionary_encode()
+            if len(memory) > REMEMBERED:
+                memory.clear()
+            own = []
+            for w in coded.dictionary.to_pylist():
+                if (found := memory.get(w)) is None:
+                    found = memory[w] = tuple(place[x] for x in terms_of(w) if x in place)
+                own.append(found)
+            which = coded.indices.to_numpy()
+            hits = np.flatnonzero(np.array([bool(f) for f in own], bool)[which]) if own else which
+            sizes = np.array([len(x) for x in lists], np.int64)
+            row_of = np.searchsorted(np.cumsum(sizes), hits, side="right")
+            counts: list[Counter] = [Counter() for _ in lists]
+            for row, word in zip(row_of.tolist(), which[hits].tolist()):
+                counts[row].update(own[word])
+            others = sizes - np.bincount(row_of, minlength=len(lists))
+            rows = [sorted(c.items()) for c in counts]
+            columns = [pa.array([[x[k] for x in r] for r in rows], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array(others, pa.int64())], names=["doc_id", "terms", "counts", "others"])
 
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return thin.mapInArrow(run, "doc_id long, terms array<int>, counts array<int>")
+    return thin.mapInArrow(run, "doc_id long, terms array<int>, counts array<int>, others long")
 
 
-def unit(terms: list[int], counts: list[int], idf: np.ndarray) -> np.ndarray:
-    """Weights (1 + log tf) * idf of a text's terms, at length one."""
-    w = (1 + np.log(np.asarray(counts, float))) * idf[np.asarray(terms, int)]
-    return w / (np.linalg.norm(w) or 1.0)
+def unit(terms: list[int], counts: list[int], others: int, idf: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """Axes and weights of a text's vector, at length one: tf * idf of its terms, and its other words on the last axis."""
+    w = np.asarray(counts, float) * idf[np.asarray(terms, int)]
+    if others:
+        terms, w = [*terms, len(idf)], np.append(w, OTHER * others)
+    return terms, w / (np.linalg.norm(w) or 1.0)
 
 
 class BlockMaxIndex:
@@ -154,16 +195,19 @@ class Model:
     def __init__(self, words: list[str], idf: np.ndarray, rows: list[tuple], k: int = K):
         self.words, self.idf, self.k = words, idf, k
         rows = sorted(rows, key=lambda r: (r[1], r[0]))
+        vectors = [unit(r[2], r[3], r[4], idf) for r in rows]
+        order = sorted(range(len(rows)), key=lambda i: (-vectors[i][1][-1] if vectors[i][0] and vectors[i][0][-1] == len(idf) else 0.0, i))  # like examples share blocks
+        rows, vectors = [rows[i] for i in order], [vectors[i] for i in order]
         self.ids, self.labels = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
-        vectors = [(r[2], unit(r[2], r[3], idf)) for r in rows]
-        self.index = BlockMaxIndex(vectors, max(1, len(words)))
-        share = np.array([r[4] for r in rows], float)  # documents of its class that an example stands for
+        self.index = BlockMaxIndex(vectors, len(words) + 1)
+        share = np.array([r[5] for r in rows], float)  # documents of its class that an example stands for
         self.weights = share / (share.mean() or 1.0) if len(rows) else share
         bare = np.array([not len(t) for t, _ in vectors], bool)
         self.bare = float(((self.labels * self.weights)[bare].sum() + 0.01) / (self.weights[bare].sum() + 1)) if len(rows) else 0.0
         full = [i for i in range(len(rows)) if not bare[i]]
         votes = np.array([self.vote(*vectors[i], without=i)[0] for i in full])
         y = self.labels[full]
+        self.plain: tuple | None = None
         self.curve = fit_platt(votes, y, self.weights[full]) if len(full) and 0 < y.sum() < len(y) else (4.0, -2.0)
 
     def vote(self, terms: list[int], weights: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
@@ -173,24 +217,31 @@ class Model:
         w = self.weights[docs] / (1.05 - np.minimum(cosines, 1.0))
         return float((w * self.labels[docs]).sum() / w.sum()), docs, cosines
 
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, list[int], list[float]]:
-        """Calibrated score with the ids and cosines of the nearest examples; a text without any term has the rate of such examples."""
-        if not terms:
+    def score(self, terms: list[int], counts: list[int], others: int) -> tuple[float, list[int], list[float]]:
+        """Calibrated score with the ids and cosines of the nearest examples; a text without words has the rate of such examples."""
+        if not terms and not others:
             return min(1.0, max(0.0, self.bare)), [], []
-        vote, docs, cosines = self.vote(terms, unit(terms, counts, self.idf))
-        return float(1 / (1 + np.exp(-np.clip(self.curve[0] * vote + self.curve[1], -30, 30)))), self.ids[docs].tolist(), cosines.tolist()
+        if not terms and self.plain:  # one vector for all texts without terms
+            return self.plain
+        vote, docs, cosines = self.vote(*unit(terms, counts, others, self.idf))
+        found = float(1 / (1 + np.exp(-np.clip(self.curve[0] * vote + self.curve[1], -30, 30)))), self.ids[docs].tolist(), cosines.tolist()
+        if not terms:
+            self.plain = found
+        return found
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     """The model and the term counts of every row of docs, from labels that may be learned from."""
     chosen = cut(examples(labels))
-    words = vocabulary(docs, chosen)
+    bounded_arrow(docs.sparkSession)
+    found = cut(distinct_examples(docs, chosen))
+    words, chosen = vocabulary(found), found.select("doc_id", "toxic")
     vectors = cut(term_counts(docs, words))
     counted = dict(vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect())
     total = vectors.count()
     idf = np.array([math.log((1 + total) / (1 + counted.get(i, 0))) + 1 for i in range(len(words))])
     classes = {y: n for y, n in labels.filter(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
-    rows = vectors.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "terms", "counts").collect()
+    rows = vectors.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "terms", "counts", "others").collect()
     taken = Counter(r[1] for r in rows)
     return Model(words, idf, [(*r, classes[r[1]] / taken[r[1]]) for r in rows]), vectors
 
@@ -201,8 +252,8 @@ def scored(vectors: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for ids, terms, counts in as_rows(batches, "doc_id", "terms", "counts"):
-            found = [m.score(t, c) for t, c in zip(terms, counts)]
+        for ids, terms, counts, others in as_rows(batches, "doc_id", "terms", "counts", "others"):
+            found = [m.score(*x) for x in zip(terms, counts, others)]
             columns = [pa.array(ids, pa.int64()), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "evidence", "cosines"])
 
@@ -214,7 +265,7 @@ def toxicity_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence and cosines of every row.
 
     Labels are learned only from ids that are not held out. Null and empty texts
-    have no terms and get the rate of label 1 among examples without terms; without
+    have no words and get the rate of label 1 among examples without words; without
     labels of both classes every score is that rate or 0. Repeated rows give repeated rows.
     """
     model, vectors = train(docs, labels.filter(~held_out(F.col("doc_id"))))
