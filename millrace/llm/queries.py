@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing, pieces, quality, secret_scan, sharding, simhash, toxicity
+from . import embed_dedup, langid, mixing, packing, pieces, quality, secret_scan, sharding, simhash, toxicity
 from .common import table
 
 
@@ -53,8 +53,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.embedding_table(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_langid, op3_sentencepiece, op4_sharding, op5_quality, op6_mixing, op7_secrets, op8_simhash, op9_packing)
+    found = (op1_toxicity, op2_langid, op3_sentencepiece, op4_sharding, op5_quality, op6_mixing, op7_secrets, op8_simhash, op9_packing, op10_embeddings)
     return {f.__name__: f for f in found}
 
 
