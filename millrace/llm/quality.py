@@ -14,6 +14,8 @@ and only the trusted ids are broadcast; both are of fixed size.
 from __future__ import annotations
 
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +31,19 @@ def _text() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body names it and wherever Spark moves the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def words_of_text() -> Column:
+    return F.array_remove(F.split(_text(), f"[{SPACE}]+"), "")
+
+
 def repeated_words(words: Column) -> Column:
     """Words that lie in a window of three that the text has twice or more, the first included.
 
-    words must be a plain column. Windows are told apart by a 64-bit hash of their words.
+    words must be a plain column or bound by let. Windows are told apart by a 64-bit hash of their words.
     """
     at = F.sequence(F.lit(0), F.size(words) - 3)
     window = lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2])
@@ -56,7 +67,7 @@ def base(docs: DataFrame) -> DataFrame:
     """docs with `_q_*` columns: the words, the base counts and the base verdict."""
     text = _text()
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
-    df = docs.withColumn("_q_words", F.array_remove(F.split(text, f"[{SPACE}]+"), "")).withColumn("_q_lines", lines)
+    df = docs.withColumn("_q_words", words_of_text()).withColumn("_q_lines", lines)
     words = F.col("_q_words")
     df = df.withColumns(
         {
@@ -67,12 +78,16 @@ def base(docs: DataFrame) -> DataFrame:
             "_q_n_repeat_words": repeated_words(words).cast("long"),
         }
     )
-    failed = (F.col("_q_n_words") < MIN_WORDS) | (100 * F.col("_q_n_repeat_words") > MAX_REPEATED_PERCENT * F.col("_q_n_words"))
-    return df.withColumn("_q_base_failed", failed)
+    return df.withColumn("_q_base_failed", fails(F.col("_q_n_words"), F.col("_q_n_repeat_words")))
+
+
+def fails(words: Column, repeated: Column) -> Column:
+    """The base rules: too few words, or too many of them in repeated windows."""
+    return (words < MIN_WORDS) | (100 * repeated.cast("long") > MAX_REPEATED_PERCENT * words)
 
 
 def cells(tokens: Column) -> Column:
-    """Cells of the tokens and of pairs of neighbours; tokens must be a plain column."""
+    """Cells of the tokens and of pairs of neighbours; tokens must be a plain column or bound by let."""
     cell = lambda *t: F.pmod(F.xxhash64(*t), F.lit(BUCKETS)).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.size(tokens) - 2), lambda i: cell(tokens[i], tokens[i + 1]))
     return F.concat(F.transform(tokens, lambda t: cell(t)), F.when(F.size(tokens) > 1, pairs).otherwise(F.array().cast("array<int>")))
@@ -97,6 +112,11 @@ def log_ratios(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> np
     return target - raw
 
 
+def mean_ratio(held: Column, ratios: Column) -> Column:
+    """Mean log ratio over the cells of a text; 0 without cells."""
+    return F.when(F.size(held) > 0, F.aggregate(held, F.lit(0.0), lambda acc, c: acc + F.get(ratios, c)) / F.size(held)).otherwise(0.0)
+
+
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted: int = TRUSTED) -> DataFrame:
     """docs with the base columns, `_q_score` and `_q_kept`.
 
@@ -105,9 +125,7 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, tru
     """
     ratios = F.lit(log_ratios(docs, labels, trusted))
     df = base(docs).withColumn("_q_tokens", tokens()).withColumn("_q_cells", cells(F.col("_q_tokens")))
-    total = F.aggregate("_q_cells", F.lit(0.0), lambda acc, c: acc + F.get(ratios, c))
-    score = F.when(F.size("_q_cells") > 0, total / F.size("_q_cells")).otherwise(0.0)
-    return df.withColumn("_q_score", score).withColumn("_q_kept", ~F.col("_q_base_failed") & (F.col("_q_score") >= F.lit(float(threshold))))
+    return df.withColumn("_q_score", mean_ratio(F.col("_q_cells"), ratios)).withColumn("_q_kept", ~F.col("_q_base_failed") & (F.col("_q_score") >= F.lit(float(threshold))))
 
 
 def quality_table(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -118,4 +136,7 @@ def quality_table(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that the base rules or the score reject."""
-    return judged(docs, labels, threshold).filter("_q_kept").select(*docs.columns)
+    ratios = F.lit(log_ratios(docs, labels))
+    good = ~let(words_of_text(), lambda w: fails(F.size(w), repeated_words(w)))
+    likely = let(tokens(), lambda t: let(cells(t), lambda c: mean_ratio(c, ratios))) >= F.lit(float(threshold))
+    return docs.filter(good & likely)
