@@ -56,7 +56,7 @@ def subtract(total: DataFrame, part: DataFrame, by: list[str]) -> DataFrame:
 
 
 def over_steps(m: Samples, statistic: str, start: float, end: float, step: float, lookback: float, by: list[str] | None = None, q: float | None = None) -> DataFrame:
-    """(by, at, value) at start, start + step, ..., end inclusive, each over [at - lookback, at); empty steps are left out.
+    """(by, step_time, value) at start, start + step, ..., end inclusive, each over [step_time - lookback, step_time); empty steps are left out.
 
     Mergeable statistics go through panes of the step's width where lookback is a
     multiple of it; quantiles give every sample to the steps that look back at it.
@@ -71,12 +71,12 @@ def over_steps(m: Samples, statistic: str, start: float, end: float, step: float
         reach = F.sequence(F.greatest(F.col("pane"), F.lit(0)), F.least(F.col("pane") + int(lookback // step) - 1, F.lit(steps)))
         seen = panes.filter((F.col("pane") <= steps) & (F.col("pane") + int(lookback // step) - 1 >= 0))
         states = merge(seen.select(*by, *s.merge, F.explode(reach).alias("k")), [*by, "k"], statistic)
-        return read(states, [*by, (F.lit(start) + F.col("k") * step).alias("at")], statistic)
+        return read(states, [*by, (F.lit(start) + F.col("k") * step).alias("step_time")], statistic)
     last = F.floor((F.col("t") - start + lookback) / step)
     rows = rows.withColumn("k", F.explode(F.sequence(F.greatest(first, F.lit(0)), F.least(last, F.lit(steps))))) if lookback >= step else rows.filter(first <= last).withColumn("k", first)
     from .series import aggregate
 
-    return aggregate(rows, [*by, "k"], statistic, q).select(*by, (F.lit(start) + F.col("k") * step).alias("at"), "value")
+    return aggregate(rows, [*by, "k"], statistic, q).select(*by, (F.lit(start) + F.col("k") * step).alias("step_time"), "value")
 
 
 def keys(rows: DataFrame, by: list[str], seconds: float) -> DataFrame:
