@@ -64,12 +64,25 @@ def row_key(df: DataFrame) -> Column:
 
 
 def once_each(df: DataFrame) -> DataFrame:
-    """df without repeats of whole rows, with the row's hash as `_row`.
+    """(row, _id, _key): df without repeats of whole rows, each as one struct, with its doc_id and row hash.
 
     Repeats are combined before the shuffle, so one row that makes up a third of
     the table costs no more than any other.
     """
-    return df.withColumn("_row", row_key(df)).dropDuplicates(["doc_id", "_row"])
+    return df.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), row_key(df).alias("_key")).dropDuplicates(["_id", "_key"])
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names hold."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def unused_name(df: DataFrame, name: str) -> str:
+    """name, with underscores added until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def _signature(edges: DataFrame) -> tuple:

@@ -88,9 +88,8 @@ def mix_table(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = M
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The mix itself: docs' columns, every row as often as it is taken."""
     taken = copies(_thin(docs), weights, most, seed).groupBy("doc_id", "_row").agg(F.sum("copies").alias("copies")).filter("copies > 0")
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_key"), "copies")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id"), row_key(docs).alias("_row")).dropDuplicates(["doc_id", "_row"])
-    rows = rows.join(taken, rows["doc_id"].eqNullSafe(taken["_id"]) & (rows["_row"] == taken["_key"]))
+    taken = taken.select(F.col("doc_id").alias("taken_id"), F.col("_row").alias("taken_key"), "copies")
+    rows = once_each(docs).join(taken, F.col("_id").eqNullSafe(F.col("taken_id")) & (F.col("_key") == F.col("taken_key")))
     return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")).select("row.*")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_rows, bounded_arrow
+from .common import as_rows, bounded_arrow, columns_of, unused_name
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -147,16 +147,17 @@ def redacted(docs: DataFrame, words: list[str] | None = None) -> DataFrame:
     """docs with every secret in `text` replaced by [SECRET], and `n_chars`, where there is one, counted anew for changed texts."""
     bounded_arrow(docs.sparkSession)
     known = tuple(identifiers(docs) if words is None else words)
-    names, place = [*docs.columns, "_before"], docs.columns.index("text")
+    before = unused_name(docs, "_before")
+    names, place = [*docs.columns, before], docs.columns.index("text")
 
     def run(batches):
         for b in batches:
             texts = [t and redact(t, scan(t, known)) for t in b.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:place], pa.array(texts, pa.string()), *b.columns[place + 1 :], b.column(place)], names=names)
 
-    schema = T.StructType([*[T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema.fields], T.StructField("_before", T.StringType())])
+    schema = T.StructType([*[T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema.fields], T.StructField(before, T.StringType())])
     out = docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
     if "n_chars" in docs.columns:
-        changed = ~F.col("text").eqNullSafe(F.col("_before"))
+        changed = ~F.col("text").eqNullSafe(F.col(before))
         out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*columns_of(docs))

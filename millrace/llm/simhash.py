@@ -146,6 +146,6 @@ def keep_representatives(docs: DataFrame, distance: int = DISTANCE) -> DataFrame
     """
     fps = cut(fingerprints(docs, row_key(docs).alias("_row")))
     first = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id"), F.col("_row"))).alias("first"))
-    kept = classes(fps, distance).filter("node = root").join(first, "fp").select(F.col("first.doc_id").alias("_id"), F.col("first._row").alias("_key"))
+    kept = classes(fps, distance).filter("node = root").join(first, "fp").select(F.col("first.doc_id").alias("kept_id"), F.col("first._row").alias("kept_key"))
     rows = once_each(docs)
-    return rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_row"] == kept["_key"]), "left_semi").select(*docs.columns)
+    return rows.join(kept, F.col("_id").eqNullSafe(F.col("kept_id")) & (F.col("_key") == F.col("kept_key")), "left_semi").select("row.*")

@@ -75,7 +75,7 @@ def distinct_examples(docs: DataFrame, chosen: DataFrame) -> DataFrame:
             families = pa.array([family(t or "") for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(toxic, pa.int32()), pa.array(terms, pa.list_(pa.string())), families], names=["doc_id", "toxic", "terms", "family"])
 
-    found = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, terms array<string>, family long")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, terms array<string>, family long")
     return found.groupBy("family").agg(F.min(F.struct("doc_id", "toxic", "terms")).alias("first")).select("first.*")
 
 
