@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE
 
-BUCKETS, TRUSTED, THRESHOLD = 1 << 14, 20_000, -0.25
+BUCKETS, TRUSTED, THRESHOLD = 1 << 14, 20_000, -0.4
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]+"
 

@@ -156,7 +156,8 @@ def redacted(docs: DataFrame, words: list[str] | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:place], pa.array(texts, pa.string()), *b.columns[place + 1 :], b.column(place)], names=names)
 
     schema = T.StructType([*[T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema.fields], T.StructField(before, T.StringType())])
-    out = docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
+    plain = docs.withColumn("text", F.col("text").cast("string")).toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots can't be passed on
+    out = plain.mapInArrow(run, schema)
     if "n_chars" in docs.columns:
         changed = ~F.col("text").eqNullSafe(F.col(before))
         out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
