@@ -24,7 +24,7 @@ from .common import as_rows, bounded_arrow, cut
 #: Most words and most n-grams in the model, and the longest n-gram.
 WORDS, GRAMS, LONGEST = 160_000, 240_000, 4
 #: Word counts that a task holds before it hands them on; scores of words that a worker remembers.
-HELD, REMEMBERED = 200_000, 400_000
+HELD, REMEMBERED = 100_000, 200_000
 SMOOTH = 0.5
 UNKNOWN = "und"
 _words = re.compile(r"[^\W\d_]+").findall
@@ -97,25 +97,28 @@ class LanguageModel:
         self.words = self._table(words)
         self.grams = self._table(grams)
 
-    def _table(self, rows: list[tuple[str, str, int]]) -> dict[str, np.ndarray]:
-        place = {x: i for i, x in enumerate(self.langs)}
-        table: dict[str, np.ndarray] = {}
-        for lang, word, n in rows:
-            table.setdefault(word, np.zeros(len(self.langs), np.float32))[place[lang]] = n
-        totals = sum(table.values(), np.zeros(len(self.langs))) + SMOOTH * max(1, len(table))
-        for word, n in table.items():
-            table[word] = np.log((n + SMOOTH) / totals).astype(np.float32)
-        return table
+    def _table(self, rows: list[tuple[str, str, int]]) -> tuple[dict[str, int], np.ndarray]:
+        """Rows of a matrix of log frequencies by word or n-gram; one number per word keeps workers small."""
+        lang = {x: i for i, x in enumerate(self.langs)}
+        place: dict[str, int] = {}
+        for _, word, _ in rows:
+            place.setdefault(word, len(place))
+        counts = np.full((len(place), len(self.langs)), SMOOTH)
+        for name, word, n in rows:
+            counts[place[word], lang[name]] += n
+        return place, np.log(counts / np.maximum(counts.sum(0), SMOOTH)).astype(np.float32)
 
     def word(self, word: str) -> np.ndarray:
         """Log frequency of a word per language, by words or else by the longest n-grams known."""
-        if (found := self.words.get(word)) is not None:
-            return found
+        place, table = self.words
+        if (found := place.get(word)) is not None:
+            return table[found]
+        place, table = self.grams
         word = f"^{word}$"
         for k in range(LONGEST, 0, -1):
-            known = [g for i in range(len(word) - k + 1) if (g := self.grams.get(word[i : i + k])) is not None]
+            known = [g for i in range(len(word) - k + 1) if (g := place.get(word[i : i + k])) is not None]
             if known:
-                return sum(known[1:], known[0]) / len(known)
+                return table[known].mean(0)
         return np.zeros(len(self.langs), np.float32)
 
     def judge(self, scores: np.ndarray, n: np.ndarray) -> tuple[list[str | None], np.ndarray]:
