@@ -64,12 +64,17 @@ def row_key(df: DataFrame) -> Column:
 
 
 def once_each(df: DataFrame) -> DataFrame:
-    """(row, _id, _key): df without repeats of whole rows, each as one struct, with its doc_id and row hash.
+    """(row, _id, _key): df without repeats of whole rows, each as one struct, with its doc_id (0 for null) and row hash.
 
     Repeats are combined before the shuffle, so one row that makes up a third of
-    the table costs no more than any other.
+    the table costs no more than any other. A join on (_id, _key) needs no further
+    shuffle of the rows; the hash tells a null id from 0.
     """
-    return df.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), row_key(df).alias("_key")).dropDuplicates(["_id", "_key"])
+    return df.select(F.struct("*").alias("row"), id_or_zero(F.col("doc_id")).alias("_id"), row_key(df).alias("_key")).dropDuplicates(["_id", "_key"])
+
+
+def id_or_zero(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(0).cast("long"))
 
 
 def columns_of(df: DataFrame) -> list[Column]:

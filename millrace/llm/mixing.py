@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_or_null, cut, n_words, once_each, row_key
+from .common import column_or_null, cut, id_or_zero, n_words, once_each, row_key
 
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, 42
 #: Rank offsets go to executors as a broadcast up to so many rows, and by a shuffle join beyond.
@@ -88,8 +88,8 @@ def mix_table(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = M
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The mix itself: docs' columns, every row as often as it is taken."""
     taken = copies(_thin(docs), weights, most, seed).groupBy("doc_id", "_row").agg(F.sum("copies").alias("copies")).filter("copies > 0")
-    taken = taken.select(F.col("doc_id").alias("taken_id"), F.col("_row").alias("taken_key"), "copies")
-    rows = once_each(docs).join(taken, F.col("_id").eqNullSafe(F.col("taken_id")) & (F.col("_key") == F.col("taken_key")))
+    taken = taken.select(id_or_zero(F.col("doc_id")).alias("_id"), F.col("_row").alias("_key"), "copies")
+    rows = once_each(docs).join(taken, ["_id", "_key"])
     return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")).select("row.*")
 
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_arrow, components, cut, once_each, row_key
+from .common import bounded_arrow, components, cut, id_or_zero, once_each, row_key
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: Above so many fingerprints at one meeting point, they meet around single-bit changes instead.
@@ -146,6 +146,5 @@ def keep_representatives(docs: DataFrame, distance: int = DISTANCE) -> DataFrame
     """
     fps = cut(fingerprints(docs, row_key(docs).alias("_row")))
     first = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id"), F.col("_row"))).alias("first"))
-    kept = classes(fps, distance).filter("node = root").join(first, "fp").select(F.col("first.doc_id").alias("kept_id"), F.col("first._row").alias("kept_key"))
-    rows = once_each(docs)
-    return rows.join(kept, F.col("_id").eqNullSafe(F.col("kept_id")) & (F.col("_key") == F.col("kept_key")), "left_semi").select("row.*")
+    kept = classes(fps, distance).filter("node = root").join(first, "fp").select(id_or_zero(F.col("first.doc_id")).alias("_id"), F.col("first._row").alias("_key"))
+    return once_each(docs).join(kept, ["_id", "_key"], "left_semi").select("row.*")
