@@ -44,6 +44,11 @@ def units(vectors: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _matrix(lists: pa.ListArray) -> np.ndarray:
+    """Lists of one length, without nulls, as the rows of a matrix."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * (a @ b.T)))
 
@@ -118,8 +123,8 @@ def _assigned(points: DataFrame, sizes: DataFrame, trees: DataFrame) -> DataFram
     schema = T.StructType([*[f for f in rows.schema.fields if f.name != "task"], T.StructField("leaf", T.IntegerType()), T.StructField("dist", T.DoubleType())])
 
     def nearest(rows: pa.Table, centres: pa.Table) -> pa.Table:
-        x = units(np.array(rows.column("embedding").to_pylist(), np.float64))
-        d = _apart(x, np.array(centres.column("centre").to_pylist(), np.float64))
+        x = units(_matrix(rows.column("embedding").combine_chunks()))
+        d = _apart(x, _matrix(centres.column("centre").combine_chunks()))
         best = d.argmin(1)
         rows = rows.drop_columns(["task"])
         return rows.append_column("leaf", pa.array(centres.column("leaf").to_numpy()[best].astype(np.int32))).append_column("dist", pa.array(d[np.arange(len(best)), best]))
@@ -223,7 +228,7 @@ def links(points: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 a, b, x, y = (batch.column(c)[i] for c in ("a", "b", "rows_a", "rows_b"))
                 same = a.as_py() == b.as_py()
                 x, y = x.values, y.values
-                (nodes_x, times_x, u), (nodes_y, times_y, v) = ((s.field("node"), s.field("n").to_numpy(), units(np.array(s.field("embedding").to_pylist(), np.float64))) for s in (x, y))
+                (nodes_x, times_x, u), (nodes_y, times_y, v) = ((s.field("node"), s.field("n").to_numpy(), units(_matrix(s.field("embedding")))) for s in (x, y))
                 linked = u @ v.T >= threshold
                 if same:
                     np.fill_diagonal(linked, False)
