@@ -303,6 +303,12 @@ add(
     f"SELECT {SERIES}, round(sum(value), 4) AS value FROM events WHERE {SPAN} GROUP BY ALL",
 )
 
+add(
+    "at_modifier",
+    lambda s, d: rounded(series.at_instant(events(s, d), "sum", END - DAY, DAY, by=["event_type"])),
+    "SELECT event_type, round(sum(value), 4) AS value FROM events WHERE ts >= TIMESTAMP '2024-01-13' AND ts < TIMESTAMP '2024-01-14' GROUP BY ALL",
+)
+
 # Sketches: SQL states the bound that an estimate must meet
 
 
