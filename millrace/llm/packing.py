@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_arrow
-from .pieces import _encoded, codec
+from .pieces import _encoded, rest
 
 LENGTH, WINDOW = 2048, 1 << 21
 SCHEMA = "row_key string, n_tokens int, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<long>, starts array<long>"
@@ -113,14 +113,13 @@ def packed_documents(docs: DataFrame, model: str, end_id: int | None = 2, length
     """
     bounded_arrow(docs.sparkSession)
     end = np.array([] if end_id is None else [end_id], np.int32)
-    codec_of = codec
 
     def run(batches):
         from pyspark import TaskContext
 
-        codec_of(model)
         given = ((d, np.concatenate([ids, end])) for b in batches for d, ids in zip(b.column(0).to_pylist(), _encoded(model, b.column(1).to_pylist())[0] if b.num_rows else []))
         yield from _windows(given, length, window, str(TaskContext.get().partitionId()))
+        rest(model)
 
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return thin.mapInArrow(run, SCHEMA)

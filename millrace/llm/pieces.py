@@ -28,7 +28,7 @@ from .common import bounded_arrow
 
 MARK = "▁"
 #: Chunks remembered per Python worker, and the longest chunk worth remembering.
-REMEMBER, REMEMBER_LENGTH = 800_000, 48
+REMEMBER, REMEMBER_LENGTH = 400_000, 48
 #: Kinds of pieces in a model file (fixed values of the format).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -281,7 +281,7 @@ class Batches:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.sizes, self.ids, self.chars = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.sizes, self.ids, self.chars = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = a.astype(np.int64) * self.SYMBOLS + b
@@ -333,7 +333,7 @@ class Batches:
                 for k, o in zip(odd, octets):
                     ids[ends[k] - len(o) : ends[k]] = [self.codec.byte_ids[b] for b in o]
                     chars[ends[k] - len(o) : ends[k]] = [0] * (len(o) - 1) + [1]
-            out.append((counts, ids.astype(np.int32), chars))
+            out.append((counts.astype(np.int32), ids.astype(np.int32), chars.astype(np.int32)))
         first = len(self.sizes)
         self.known.update(zip(words, range(first, first + len(words))))
         self.sizes, self.ids, self.chars = (np.concatenate([old, *new]) for old, new in zip((self.sizes, self.ids, self.chars), zip(*out)))
@@ -350,8 +350,8 @@ class Batches:
         if new:
             self._learn(sorted(new, key=len))
         place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[which]
-        sizes, firsts = self.sizes[place], (np.cumsum(self.sizes) - self.sizes)[place]
-        done = np.cumsum(sizes)
+        sizes, firsts = self.sizes[place], (np.cumsum(self.sizes, dtype=np.int64) - self.sizes)[place]
+        done = np.cumsum(sizes, dtype=np.int64)
         take = np.arange(done[-1] if len(done) else 0) + np.repeat(firsts - (done - sizes), sizes)
         ids, chars = self.ids[take], self.chars[take]
         row_words = lists.offsets.to_numpy()
@@ -362,7 +362,7 @@ class Batches:
         lengths = np.array([len(t) for t in texts], np.int64)
         bases = np.cumsum(lengths) - lengths
         rows = np.repeat(np.arange(len(texts)), np.diff(offsets))
-        total = np.cumsum(chars)
+        total = np.cumsum(chars, dtype=np.int64)
         in_row = total - np.append(0, total)[offsets[:-1]][rows]
         ends = places[np.searchsorted(places, bases)[rows] + in_row - 1] - bases[rows]
         begins = np.append(0, ends[:-1])
@@ -389,6 +389,15 @@ def codec(path: str) -> tuple[PieceCodec, Batches | None]:
     return c, Batches(c) if c.map is None and not c.squeeze and c.prefix and c.escape else None
 
 
+def rest(path: str) -> None:
+    """Let go of remembered words when a task ends, so that idle Python workers leave the memory to others."""
+    single, batches = codec(path)
+    single.memory.clear()
+    if batches:
+        batches.forget()
+    pa.default_memory_pool().release_unused()
+
+
 def _encoded(path: str, texts: list[bytes | None]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray], list[bytes]]:
     """Per text: ids, begins, ends, and the decoded text in UTF-8."""
     single, batches = codec(path)
@@ -421,6 +430,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
             *spans, decoded = _encoded(model, b.column(1).to_pylist())
             arrays = [pa.array(x, pa.list_(pa.int32())) for x in spans]
             yield pa.RecordBatch.from_arrays([b.column(0), *arrays, pa.array([d.decode() for d in decoded], pa.string())], names=["doc_id", "ids", "begins", "ends", "decoded"])
+        rest(model)
 
     return _thin(docs).mapInArrow(run, "doc_id long, ids array<int>, begins array<int>, ends array<int>, decoded string")
 
@@ -444,6 +454,7 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
             digits = pa.array([b"%d," % i for i in range(len(codec(model)[0].pieces))], pa.large_binary())
             lists = joined(digits, np.concatenate([np.zeros(0, np.int32), *ids]), np.append(0, np.cumsum(sizes)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), sha(x[:-1] for x in lists), sha(decoded), sha(x.astype("<i8").tobytes() for x in ends)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
+        rest(model)
 
     return _thin(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
 
