@@ -29,6 +29,8 @@ from .common import bounded_arrow
 MARK = "▁"
 #: Chunks remembered per Python worker, and the longest chunk worth remembering.
 REMEMBER, REMEMBER_LENGTH = 800_000, 48
+#: The same where whole encodings are handed on, and about how many bytes of texts are encoded at a time there.
+REMEMBER_FEW, SLICE = 60_000, 1 << 19
 #: Kinds of pieces in a model file (fixed values of the format).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -65,7 +67,7 @@ class CharacterMap:
 class PieceCodec:
     """Encoder and decoder of one byte-fallback BPE model."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = REMEMBER):
         from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece_model_pb2.ModelProto()
@@ -88,6 +90,7 @@ class PieceCodec:
         alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in joined)
         self.chunks = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else "")).findall
         self.memory: dict[str, tuple[bytes, bytes, str]] = {}
+        self.remember = remember
 
     # Normalisation
 
@@ -192,7 +195,7 @@ class PieceCodec:
                 widths += [0] * (len(octets) - 1) + [1]
         found = np.array(ids, np.int32).tobytes(), np.array(widths, np.int32).tobytes(), self._decoded(ids)
         if len(chunk) <= REMEMBER_LENGTH:
-            if len(self.memory) >= REMEMBER:
+            if len(self.memory) >= self.remember:
                 self.memory.clear()
             self.memory[chunk] = found
         return found
@@ -265,11 +268,11 @@ class Batches:
     def __init__(self, codec: PieceCodec):
         self.codec, size = codec, len(codec.pieces)
         symbol = lambda p: codec.ids[p] if p in codec.ids else size + ord(p) if len(p) == 1 else None
-        pairs = [(symbol(p[:k]), symbol(p[k:]), i, codec.cost[p]) for p, i in codec.ids.items() for k in range(1, len(p))]
-        pairs = sorted((a * self.SYMBOLS + b, i, c) for a, b, i, c in pairs if a is not None and b is not None)
-        self.keys = np.array([p[0] for p in pairs], np.int64)
-        self.joined = np.array([p[1] for p in pairs], np.int32)
-        self.costs = np.array([p[2] for p in pairs], np.float32)
+        halves = ((symbol(p[:k]), symbol(p[k:]), i, codec.cost[p]) for p, i in codec.ids.items() for k in range(1, len(p)))
+        kinds = [("key", np.int64), ("joined", np.int32), ("cost", np.float32)]
+        pairs = np.fromiter(((a * self.SYMBOLS + b, i, c) for a, b, i, c in halves if a is not None and b is not None), kinds)
+        pairs.sort(order="key")
+        self.keys, self.joined, self.costs = (pairs[n].copy() for n, _ in kinds)
         self.of_point = np.arange(0x110000, dtype=np.int32) + size
         for p, i in codec.ids.items():
             if len(p) == 1:
@@ -344,7 +347,7 @@ class Batches:
         lists = pc.split_pattern(column, " ")
         coded = lists.flatten().dictionary_encode()
         words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if len(self.known) + len(words) > REMEMBER:
+        if len(self.known) + len(words) > self.codec.remember:
             self.forget()
         new = [w for w in words if w not in self.known]
         if new:
@@ -383,24 +386,26 @@ def joined(strings: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> list[byte
 
 
 @lru_cache(maxsize=4)
-def codec(path: str) -> tuple[PieceCodec, Batches | None]:
+def codec(path: str, remember: int = REMEMBER) -> tuple[PieceCodec, Batches | None]:
     """One codec per model and Python worker, and its batch form where it has one."""
-    c = PieceCodec(path)
+    c = PieceCodec(path, remember)
     return c, Batches(c) if c.map is None and not c.squeeze and c.prefix and c.escape else None
 
 
-def rest(path: str) -> None:
-    """Let go of remembered words when a task ends, so that idle Python workers leave the memory to others."""
-    single, batches = codec(path)
-    single.memory.clear()
-    if batches:
-        batches.forget()
-    pa.default_memory_pool().release_unused()
+def slices(batch: pa.RecordBatch, most: int = SLICE):
+    """Parts of a batch (doc_id, text) with about `most` bytes of texts each; a longer text is a part of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
-def _encoded(path: str, texts: list[bytes | None]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray], list[bytes]]:
+def _encoded(path: str, texts: list[bytes | None], remember: int = REMEMBER) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray], list[bytes]]:
     """Per text: ids, begins, ends, and the decoded text in UTF-8."""
-    single, batches = codec(path)
+    single, batches = codec(path, remember)
     texts = [t or b"" for t in texts]
     fast = [i for i, t in enumerate(texts) if batches and batches.plain(t)]
     out: list = [None] * len(texts)
@@ -416,21 +421,27 @@ def _encoded(path: str, texts: list[bytes | None]) -> tuple[list[np.ndarray], li
     return tuple(list(x) for x in zip(*out)) if out else ([], [], [], [])
 
 
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    """Numpy rows as one Arrow list column, without Python numbers."""
+    offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int32)))
+
+
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """One row per document: doc_id, ids, begins, ends (array<int>, byte spans of the text) and decoded.
 
     A null text is empty: no ids, decoded to the empty text. Other columns are
     ignored; repeated rows give repeated rows. Nothing is shuffled; whole texts
-    are encoded, whatever their length.
+    are encoded, whatever their length. Workers take texts in slices and remember
+    few words, so that they stay small beside an executor that other stages filled.
     """
     bounded_arrow(docs.sparkSession)
 
     def run(batches):
-        for b in batches:
-            *spans, decoded = _encoded(model, b.column(1).to_pylist())
-            arrays = [pa.array(x, pa.list_(pa.int32())) for x in spans]
-            yield pa.RecordBatch.from_arrays([b.column(0), *arrays, pa.array([d.decode() for d in decoded], pa.string())], names=["doc_id", "ids", "begins", "ends", "decoded"])
-        rest(model)
+        for b in (part for whole in batches for part in slices(whole)):
+            *spans, decoded = _encoded(model, b.column(1).to_pylist(), REMEMBER_FEW)
+            arrays = [_lists(x) for x in spans]
+            yield pa.RecordBatch.from_arrays([b.column(0), *arrays, pa.array(decoded, pa.binary()).cast(pa.string())], names=["doc_id", "ids", "begins", "ends", "decoded"])
 
     return _thin(docs).mapInArrow(run, "doc_id long, ids array<int>, begins array<int>, ends array<int>, decoded string")
 
