@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_arrow
-from .pieces import _encoded
+from .pieces import token_ids
 
 LENGTH, WINDOW = 2048, 1 << 21
 SCHEMA = "row_key string, n_tokens int, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<long>, starts array<long>"
@@ -117,7 +117,7 @@ def packed_documents(docs: DataFrame, model: str, end_id: int | None = 2, length
     def run(batches):
         from pyspark import TaskContext
 
-        given = ((d, np.concatenate([ids, end])) for b in batches for d, ids in zip(b.column(0).to_pylist(), _encoded(model, b.column(1).to_pylist())[0] if b.num_rows else []))
+        given = ((d, np.concatenate([ids, end])) for b in batches for d, ids in zip(b.column(0).to_pylist(), token_ids(model, b.column(1).to_pylist())))
         yield from _windows(given, length, window, str(TaskContext.get().partitionId()))
 
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))

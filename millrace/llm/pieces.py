@@ -341,8 +341,8 @@ class Batches:
         self.known.update(zip(words, range(first, first + len(words))))
         self.sizes, self.ids, self.chars = (np.concatenate([old, *new]) for old, new in zip((self.sizes, self.ids, self.chars), zip(*out)))
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """Row offsets, ids, begins and ends of all rows, and the decoded texts (without their first space)."""
+    def ids_of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row offsets and ids of all rows, and the characters that each id ends."""
         column = pa.array(texts, pa.large_binary()).cast(pa.large_string())
         lists = pc.split_pattern(column, " ")
         coded = lists.flatten().dictionary_encode()
@@ -356,10 +356,11 @@ class Batches:
         sizes, firsts = self.sizes[place], (np.cumsum(self.sizes, dtype=np.int64) - self.sizes)[place]
         done = np.cumsum(sizes, dtype=np.int64)
         take = np.arange(done[-1] if len(done) else 0) + np.repeat(firsts - (done - sizes), sizes)
-        ids, chars = self.ids[take], self.chars[take]
-        row_words = lists.offsets.to_numpy()
-        offsets = np.append(0, done)[row_words]
+        return np.append(0, done)[lists.offsets.to_numpy()], self.ids[take], self.chars[take]
 
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Row offsets, ids, begins and ends of all rows, and the decoded texts (without their first space)."""
+        offsets, ids, chars = self.ids_of(texts)
         source = np.frombuffer(b"".join(texts), np.uint8)
         places = np.append(np.flatnonzero((source & 0xC0) != 0x80), len(source))
         lengths = np.array([len(t) for t in texts], np.int64)
@@ -421,6 +422,19 @@ def _encoded(path: str, texts: list[bytes | None], remember: int = REMEMBER) ->
     return tuple(list(x) for x in zip(*out)) if out else ([], [], [], [])
 
 
+def token_ids(path: str, texts: list[bytes | None]) -> list[np.ndarray]:
+    """The ids alone of every text, for callers without use for spans and decoded texts; a null text is empty."""
+    single, batches = codec(path)
+    texts = [t or b"" for t in texts]
+    fast = [i for i, t in enumerate(texts) if batches and batches.plain(t)]
+    out: list = [None] * len(texts)
+    if fast:
+        offsets, ids, _ = batches.ids_of([texts[i] for i in fast])
+        for i, a, b in zip(fast, offsets, offsets[1:]):
+            out[i] = ids[a:b]
+    return [single.encode(t)[0] if found is None else found for t, found in zip(texts, out)]
+
+
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     """Numpy rows as one Arrow list column, without Python numbers."""
     offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
