@@ -342,11 +342,11 @@ class Batches:
         self.sizes, self.ids, self.chars = (np.concatenate([old, *new]) for old, new in zip((self.sizes, self.ids, self.chars), zip(*out)))
 
     def ids_of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row offsets and ids of all rows, and the characters that each id ends."""
+        """Row offsets and ids of all rows, and the place of each id among those of remembered words."""
         column = pa.array(texts, pa.large_binary()).cast(pa.large_string())
         lists = pc.split_pattern(column, " ")
         coded = lists.flatten().dictionary_encode()
-        words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        words, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         if len(self.known) + len(words) > self.codec.remember:
             self.forget()
         new = [w for w in words if w not in self.known]
@@ -356,11 +356,12 @@ class Batches:
         sizes, firsts = self.sizes[place], (np.cumsum(self.sizes, dtype=np.int64) - self.sizes)[place]
         done = np.cumsum(sizes, dtype=np.int64)
         take = np.arange(done[-1] if len(done) else 0) + np.repeat(firsts - (done - sizes), sizes)
-        return np.append(0, done)[lists.offsets.to_numpy()], self.ids[take], self.chars[take]
+        return np.append(0, done)[lists.offsets.to_numpy()], self.ids[take], take
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         """Row offsets, ids, begins and ends of all rows, and the decoded texts (without their first space)."""
-        offsets, ids, chars = self.ids_of(texts)
+        offsets, ids, take = self.ids_of(texts)
+        chars = self.chars[take]
         source = np.frombuffer(b"".join(texts), np.uint8)
         places = np.append(np.flatnonzero((source & 0xC0) != 0x80), len(source))
         lengths = np.array([len(t) for t in texts], np.int64)
