@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and strings that dictionary-primed compression cannot shorten.
 
 Every text is searched for three patterns. Beyond them, each long string that
-stands shortly after a sensitive word is a candidate. Its novelty is what it adds,
+stands shortly after a sensitive word is a candidate, and so is the value of each
+NAME=value with a sensitive word in its name. Its novelty is what it adds,
 in bytes, to the zstandard form of the text around it, with a dictionary of
 identifiers primed beforehand: names and words that code or the corpus use cost
 little, random keys cost nearly all of their bytes. Incompressible candidates are
@@ -32,6 +33,8 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,512}", re.A)
 SENSITIVE = re.compile(r"passw|pwd|secret|token|api[_ -]?key|auth|bearer|credential|private[_ -]?key|access[_ -]?key|signature|\bkey\b", re.I | re.A)
+#: What parts a name from its value within a run; signs at the end of a run belong to it.
+SIGN = re.compile(r"=+(?=[^=])")
 #: Characters before a candidate in which a sensitive word counts, and the text around it that it is measured against.
 NEAR, AROUND = 48, 256
 #: A candidate is novel if it adds at least this share of its bytes.
@@ -91,16 +94,40 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(found)
 
 
+def _novel(text: str, start: int, end: int, words: tuple[str, ...]) -> bool:
+    return novelty(text[start:end], text[max(0, start - AROUND) : start] + text[end : end + AROUND], words) >= NOVELTY
+
+
+def _secret(text: str, start: int, end: int, near: bool, words: tuple[str, ...]) -> int | None:
+    """Where the secret of a run begins, which goes on to its end; near tells of a sensitive word before the run."""
+    values, named, at = [], [], start
+    for m in SIGN.finditer(text, start, end):
+        values.append(m.end())
+        if SENSITIVE.search(text, at, m.start()):
+            named.append(m.end())
+        at = m.end()
+    for a, b in zip(named, [*named[1:], end]):
+        if b - a >= LEAST_ASSIGN and _novel(text, a, b, words):
+            return start if near and _novel(text, start, a, words) else a
+    if near and _novel(text, start, end, words):
+        return start
+    if near and values and end - values[0] >= LEAST_ASSIGN and _novel(text, values[0], end, words):
+        return values[0]
+    return None
+
+
 def scan(text: str, words: tuple[str, ...] = ()) -> list[tuple[int, int, int, int]]:
     """All spans of a text; novel ones lie outside the others."""
     found = base_spans(text)
     taken = [(s[0], s[2]) for s in found]
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
-        if not SENSITIVE.search(text, max(0, start - NEAR), start) or any(a < end and start < b for a, b in taken):
+        near = SENSITIVE.search(text, max(0, start - NEAR), start) is not None
+        if not near and "=" not in m.group():
             continue
-        if novelty(m.group(), text[max(0, start - AROUND) : start] + text[end : end + AROUND], words) >= NOVELTY:
-            found.append((start, 3, end, start))
+        begin = _secret(text, start, end, near, words)
+        if begin is not None and not any(a < end and begin < b for a, b in taken):
+            found.append((begin, 3, end, begin))
     return sorted(found)
 
 

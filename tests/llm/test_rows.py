@@ -187,6 +187,20 @@ def test_incompressible_strings_in_sensitive_context_are_novel():
     assert secret_scan.novelty(known[0], "token", known) < secret_scan.novelty(known[0], "token")
 
 
+RANDOM = "q7ZpX2mK9vLt4RwB8nYcUe6H"
+
+
+@pytest.mark.parametrize("name", ["DB_PWD", "https://x.io/a?signature", "go?a=1&auth", "credential", "private_key", "AWS_SECRET_ACCESS_KEY", "a=1.db_pwd"])
+def test_values_of_sensitive_names_in_one_run_are_novel(name):
+    for value in (RANDOM, RANDOM[:14], f"{RANDOM}=="):
+        text = f"export {name}={value} and go on"
+        spans = secret_scan.scan(text)
+        assert [text[a:b] for a, _, b, _ in spans] == [value]
+        assert secret_scan.redact(text, spans) == f"export {name}=[SECRET] and go on"
+    assert secret_scan.scan(f"export {name}=authentication_configuration_default and go on") == []
+    assert secret_scan.scan(f"export plain_name={RANDOM} and go on") == []
+
+
 def test_redaction_keeps_the_rest(spark, edge):
     df = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate([*SECRETS, "clean text", None])], "doc_id long, text string, n_chars long")
     out = {r["doc_id"]: r for r in secret_scan.redacted(df).collect()}
