@@ -2,11 +2,13 @@
 
 Every text is searched for three patterns. Beyond them, each long string that
 stands shortly after a sensitive word is a candidate, and so is the value of each
-NAME=value with a sensitive word in its name. Its novelty is what it adds,
+NAME=value with a sensitive word in its name, each long string of a private key
+block, and each that follows another one of these, or the value of a fixed pattern,
+after white space only (lines of one key). Its novelty is what it adds,
 in bytes, to the zstandard form of the text around it, with a dictionary of
 identifiers primed beforehand: names and words that code or the corpus use cost
-little, random keys cost nearly all of their bytes. Incompressible candidates are
-reported as `novel` spans. The dictionary joins fixed code words with the most
+little, random keys cost nearly all of their bytes. Candidates of any length are
+measured in pieces, and reported whole as `novel` spans if a piece is incompressible. The dictionary joins fixed code words with the most
 frequent identifiers of all documents.
 """
 
@@ -31,14 +33,18 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,512}", re.A)
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}", re.A)
 SENSITIVE = re.compile(r"passw|pwd|secret|token|api[_ -]?key|auth|bearer|credential|private[_ -]?key|access[_ -]?key|signature|\bkey\b", re.I | re.A)
 #: What parts a name from its value within a run; signs at the end of a run belong to it.
 SIGN = re.compile(r"=+(?=[^=])")
+#: Beginnings and ends of private key blocks; what may stand between lines of a block; its last line, where too short for a candidate.
+BLOCK = re.compile(r"PRIVATE KEY(?: BLOCK)?-----|(-----END)")
+BETWEEN = " \t\r\n\v\f\\"
+LAST = re.compile(r"(?:[\s\\]|(?<=\\)[nr])([A-Za-z0-9+/=]{1,15})(?:\s|\\[nr])*\Z", re.A)
 #: Characters before a candidate in which a sensitive word counts, and the text around it that it is measured against.
 NEAR, AROUND = 48, 256
-#: A candidate is novel if it adds at least this share of its bytes.
-NOVELTY = 0.7
+#: A candidate is novel if it, or one of its even pieces of at most so many characters, adds at least this share of its bytes.
+NOVELTY, PIECE = 0.7, 512
 #: Identifiers taken from the corpus: at most so many, each in at least so many documents.
 IDENTIFIERS, LEAST_DOCUMENTS = 2000, 5
 #: Words that code is made of.
@@ -95,7 +101,22 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
 
 
 def _novel(text: str, start: int, end: int, words: tuple[str, ...]) -> bool:
-    return novelty(text[start:end], text[max(0, start - AROUND) : start] + text[end : end + AROUND], words) >= NOVELTY
+    around = text[max(0, start - AROUND) : start] + text[end : end + AROUND]
+    n = -(-(end - start) // PIECE)
+    at = [start + (end - start) * i // n for i in range(n + 1)]
+    return any(novelty(text[a:b], around, words) >= NOVELTY for a, b in zip(at, at[1:]))
+
+
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """(start, end) of what stands in private key blocks, a block without an end left out."""
+    blocks, start = [], None
+    for m in BLOCK.finditer(text):
+        if not m[1]:
+            start = m.end()
+        elif start is not None:
+            blocks.append((start, m.start()))
+            start = None
+    return blocks
 
 
 def _secret(text: str, start: int, end: int, near: bool, words: tuple[str, ...]) -> int | None:
@@ -116,19 +137,48 @@ def _secret(text: str, start: int, end: int, near: bool, words: tuple[str, ...])
     return None
 
 
+def _end_before(text: str, at: int) -> int:
+    """End of what stands before at and the white space there, line ends written as \\r or \\n included."""
+    while at and (text[at - 1] in BETWEEN or text[max(0, at - 2) : at] in ("\\r", "\\n")):
+        at -= 1
+    return at
+
+
+def _last_lines(text: str, blocks: list[tuple[int, int]], ends: set[int]) -> list[tuple[int, int, int, int]]:
+    """Spans of the short last lines of blocks whose line before ends at one of ends."""
+    found = []
+    for start, end in blocks:
+        low = max(start, end - AROUND)
+        if (m := LAST.search(text, low, end)) and _end_before(text, m.start(1)) in ends:
+            found.append((m.start(1), 3, m.end(1), m.start(1)))
+    return found
+
+
 def scan(text: str, words: tuple[str, ...] = ()) -> list[tuple[int, int, int, int]]:
     """All spans of a text; novel ones lie outside the others."""
     found = base_spans(text)
     taken = [(s[0], s[2]) for s in found]
+    blocks = key_blocks(text) if "PRIVATE KEY" in text else []
+    block = 0
+    carried = {s[2] for s in found if s[1] < 2}
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
-        near = SENSITIVE.search(text, max(0, start - NEAR), start) is not None
+        while block < len(blocks) and blocks[block][1] <= start:
+            block += 1
+        if block < len(blocks) and blocks[block][0] < end:  # dashes of the block's ends may join its lines
+            start, end = max(start, blocks[block][0]), min(end, blocks[block][1])
+            near = True
+        else:
+            before = _end_before(text, start)
+            near = before < start and before in carried or SENSITIVE.search(text, max(0, start - NEAR), start) is not None
         if not near and "=" not in m.group():
             continue
         begin = _secret(text, start, end, near, words)
+        if near or begin is not None:
+            carried.add(end)
         if begin is not None and not any(a < end and begin < b for a, b in taken):
             found.append((begin, 3, end, begin))
-    return sorted(found)
+    return sorted(found + _last_lines(text, blocks, {s[2] for s in found}))
 
 
 def joined(spans: list[tuple[int, int, int, int]]) -> str:
