@@ -1,16 +1,18 @@
 """Toxicity by nearest labelled examples.
 
 Up to EXAMPLES labelled documents of each class, in hash order, are the examples.
-Terms are words and beginnings of words. Those whose presence speaks for the toxic
-label in the examples (by the log-likelihood ratio of a two-by-two table) span the
-vector space, with one more axis for all other words together, so that a vector
-tells how much of its text the terms make up. Every document becomes its TF-IDF
-vector there; document frequencies count all documents. The K examples of
-highest cosine are found exactly with a block-max inverted index: examples stand
-in blocks, each term has its largest weight per block, and blocks are visited in
-order of their bound until no other can hold a nearer example. Votes are weighted
-by distance and by class, then calibrated on votes among the examples themselves,
-each judged without itself.
+Every text is a TF-IDF vector over all its words and their beginnings, hashed to
+AXES axes: weight (1 + ln tf) * idf of the axis, document frequencies over all
+documents. Each axis is further weighted by its relevance, the smoothed share of
+the toxic class among the examples that have it (1 to 2, cubed): plain TF-IDF lets
+the many accidental words of a text outweigh the few that matter. No axis is left
+out, and the cosines are those of the weighted vectors.
+
+The K examples of highest cosine are found exactly with a block-max inverted
+index: like examples stand in blocks, each axis has its largest weight per block,
+and a block is visited only if the bound that these give it can reach the K-th
+cosine found so far. Votes are weighted by distance and by class, then calibrated
+on votes among the examples themselves, each judged without itself.
 """
 
 from __future__ import annotations
@@ -27,20 +29,26 @@ from pyspark.sql import functions as F
 
 from .common import as_rows, bounded_arrow, cut
 
-#: Documented bounds: examples per class, terms, neighbours, and examples per block of the index.
-EXAMPLES, TERMS, K, BLOCK = 4000, 2000, 15, 64
-#: A term is used if it is in at least so many examples, and its log-likelihood ratio is at least this and this share of the largest.
-LEAST_EXAMPLES, LEAST_RATIO, LEAST_SHARE = 5, 20.0, 0.05
-#: Lengths of the beginnings of words that are terms, and the weight of one word on the axis of all others.
-BEGINNINGS, OTHER = (4, 5, 6, 7), 0.05
-#: Words whose terms a worker remembers.
-REMEMBERED = 400_000
+#: Documented bounds: examples per class, axes of the vector space, neighbours, examples per block of the index.
+EXAMPLES, AXES, K, BLOCK = 2000, 1 << 20, 15, 128
+#: Labelled ids are drawn by this factor more than EXAMPLES, since near copies among them go.
+DRAWN = 2
+#: Lengths of the beginnings of words that have axes of their own.
+BEGINNINGS = (4, 6)
+#: Examples' worth of even evidence added to each axis' share of the toxic class, and the power of its relevance.
+EVEN, POWER = 20, 3
+#: Blocks visited first, example vectors that like examples are gathered around, and words that a worker remembers.
+FIRST, SEEDS, REMEMBERED = 4, 24, 400_000
+#: Texts whose frequent axes are multiplied together, and the share of the examples beyond which an axis is held without postings.
+TOGETHER, DENSE = 64, 10
+SEED = 42
 _words = re.compile(r"[^\W\d_]+").findall
 
 
-def terms_of(word: str) -> list[str]:
-    """The word itself and its proper beginnings, marked by ^."""
-    return [word, *[f"^{word[:k]}" for k in BEGINNINGS if len(word) > k]]
+def axes_of(word: str) -> tuple[int, ...]:
+    """Axes of the word itself and of its proper beginnings, marked by ^."""
+    terms = [word, *[f"^{word[:k]}" for k in BEGINNINGS if len(word) > k]]
+    return tuple(xxhash.xxh3_64_intdigest(x.encode(), SEED) % AXES for x in terms)
 
 
 def held_out(doc_id: Column, parts: int = 5, part: int = 0) -> Column:
@@ -48,7 +56,7 @@ def held_out(doc_id: Column, parts: int = 5, part: int = 0) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def examples(labels: DataFrame, each: int = EXAMPLES) -> DataFrame:
+def drawn(labels: DataFrame, each: int) -> DataFrame:
     """(doc_id, toxic) of at most `each` labelled ids per class, in hash order; an id with any label 1 is toxic."""
     one = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     part = lambda y: one.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
@@ -56,122 +64,152 @@ def examples(labels: DataFrame, each: int = EXAMPLES) -> DataFrame:
 
 
 def family(text: str) -> int:
-    """The least hash of a text's 3-word shingles, which most near copies of it share."""
+    """A hash of the four least hashes of a text's 3-word shingles, which most near copies of it share."""
     words = text.lower().encode().split()
     shingles = zip(words, words[1:], words[2:]) if len(words) > 2 else [words]
-    return min(xxhash.xxh3_64_intdigest(b" ".join(s)) for s in shingles) - (1 << 63)
-
-
-def distinct_examples(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(doc_id, toxic, terms) of the chosen documents, with the distinct terms of each text.
-
-    Of a family of near copies one is left, so that words which only one family
-    uses don't pass for signs of its label.
+    least = sorted({xxhash.xxh3_64_intdigest(b" ".join(s)) for s in shingles})[:4]
+    return xxhash.xxh3_64_intdigest(repr(least).encode()) - (1 << 63)
+
+
+class Counts:
+    """Counts of axes in texts, with the axes of words remembered from batch to batch."""
+
+    def __init__(self) -> None:
+        self.memory: dict[str, tuple[int, ...]] = {}
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ends, axes, counts): row i of texts has axes[ends[i]:ends[i + 1]], in order, that often."""
+        if len(self.memory) > REMEMBERED:
+            self.memory.clear()
+        lists = [_words(t.lower()) if t else [] for t in texts]
+        coded = pa.array([w for x in lists for w in x], pa.string()).dictionary_encode()
+        own = []
+        for w in coded.dictionary.to_pylist():
+            if (found := self.memory.get(w)) is None:
+                found = self.memory[w] = axes_of(w)
+            own.append(found)
+        n = max(1, len(own))
+        rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        pairs, times = np.unique(rows * n + coded.indices.to_numpy(), return_counts=True)
+        sizes = np.array([len(x) for x in own], np.int64)
+        flat = np.array([a for x in own for a in x], np.int64)
+        first = np.cumsum(sizes) - sizes
+        word, row = pairs % n, pairs // n
+        if not len(pairs):
+            return np.zeros(len(lists) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        reach = sizes[word]
+        take = np.arange(reach.sum()) + np.repeat(first[word] - (np.cumsum(reach) - reach), reach)
+        keys = np.repeat(row, reach) * AXES + flat[take]
+        order = np.argsort(keys)
+        keys, starts = np.unique(keys[order], return_index=True)
+        counts = np.add.reduceat(np.repeat(times, reach)[order], starts)
+        return np.searchsorted(keys, np.arange(len(lists) + 1) * AXES), keys % AXES, counts
+
+
+def example_counts(docs: DataFrame, chosen: DataFrame, each: int = EXAMPLES) -> list[tuple]:
+    """(doc_id, toxic, axes, counts) of at most `each` examples per class, one of each family of near copies of a class.
+
+    Of several rows with one id the text of the least hash counts.
     """
 
     def run(batches):
+        counter = Counts()
         for ids, toxic, texts in as_rows(batches, "doc_id", "toxic", "text"):
-            terms = [list({x for w in set(_words((t or "").lower())) for x in terms_of(w)}) for t in texts]
+            ends, axes, counts = counter.of(texts)
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (axes, counts)]
             families = pa.array([family(t or "") for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(toxic, pa.int32()), pa.array(terms, pa.list_(pa.string())), families], names=["doc_id", "toxic", "terms", "family"])
-
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, terms array<string>, family long")
-    return found.groupBy("family").agg(F.min(F.struct("doc_id", "toxic", "terms")).alias("first")).select("first.*")
-
+            texts = pa.array([xxhash.xxh3_64_intdigest((t or "").encode()) - (1 << 63) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(toxic, pa.int32()), families, texts, *lists], names=["doc_id", "toxic", "family", "text", "axes", "counts"])
 
-def vocabulary(found: DataFrame, most: int = TERMS) -> list[str]:
-    """Terms that are commoner in toxic examples (doc_id, toxic, terms) than in others, by falling log-likelihood ratio."""
-    n1, n = found.agg(F.sum("toxic"), F.count(F.lit(1))).first()
-    if not n1 or n1 == n:
-        return []
-    counts = found.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("df"))
-    a, df, n1, n = F.col("a").cast("double"), F.col("df").cast("double"), float(n1), float(n)
-    part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-    ratio = 2 * (part(a, df * n1 / n) + part(df - a, df * (n - n1) / n) + part(n1 - a, (n - df) * n1 / n) + part(n - n1 - df + a, (n - df) * (n - n1) / n))
-    rows = counts.filter((df >= LEAST_EXAMPLES) & (a / df > n1 / n)).withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO)
-    best = rows.orderBy(F.col("ratio").desc(), "term").limit(most).select("term", "ratio").collect()
-    return [r[0] for r in best if r[1] >= LEAST_SHARE * best[0][1]]
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    found = found.mapInArrow(run, "doc_id long, toxic int, family long, text long, axes array<int>, counts array<int>")
+    one = found.groupBy("doc_id").agg(F.min_by(F.struct("*"), F.struct("text", "axes")).alias("r")).select("r.*")
+    one = cut(one.groupBy("toxic", "family").agg(F.min_by(F.struct("doc_id", "axes", "counts"), "doc_id").alias("r")).select("toxic", "r.*"))
+    part = lambda y: one.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
+    return [tuple(r) for r in part(0).unionByName(part(1)).select("doc_id", "toxic", "axes", "counts").collect()]
 
 
-def term_counts(docs: DataFrame, words: list[str]) -> DataFrame:
-    """(doc_id, terms, counts, others): the terms of every whole text (their places in words), how often it has them, and its words without any."""
+def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of documents, and in how many of them each axis occurs, over all whole texts."""
     bounded_arrow(docs.sparkSession)
-    place = {w: i for i, w in enumerate(words)}
 
     def run(batches):
-        memory: dict[str, tuple[int, ...]] = {}
-        for b in batches:
-            lists = [_words(t.lower()) if t else [] for t in b.column(1).to_pylist()]
-            coded = pa.array([w for x in lists for w in x], pa.string()).dictionary_encode()
-            if len(memory) > REMEMBERED:
-                memory.clear()
-            own = []
-            for w in coded.dictionary.to_pylist():
-                if (found := memory.get(w)) is None:
-                    found = memory[w] = tuple(place[x] for x in terms_of(w) if x in place)
-                own.append(found)
-            which = coded.indices.to_numpy()
-            hits = np.flatnonzero(np.array([bool(f) for f in own], bool)[which]) if own else which
-            sizes = np.array([len(x) for x in lists], np.int64)
-            row_of = np.searchsorted(np.cumsum(sizes), hits, side="right")
-            counts: list[Counter] = [Counter() for _ in lists]
-            for row, word in zip(row_of.tolist(), which[hits].tolist()):
-                counts[row].update(own[word])
-            others = sizes - np.bincount(row_of, minlength=len(lists))
-            rows = [sorted(c.items()) for c in counts]
-            columns = [pa.array([[x[k] for x in r] for r in rows], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array(others, pa.int64())], names=["doc_id", "terms", "counts", "others"])
-
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return thin.mapInArrow(run, "doc_id long, terms array<int>, counts array<int>, others long")
+        counter, held = Counts(), np.zeros(AXES, np.int64)
+        for (texts,) in as_rows(batches, "text"):
+            held += np.bincount(counter.of(texts)[1], minlength=AXES)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(held[at], pa.int64())], names=["axis", "n"])
 
-
-def unit(terms: list[int], counts: list[int], others: int, idf: np.ndarray) -> tuple[list[int], np.ndarray]:
-    """Axes and weights of a text's vector, at length one: tf * idf of its terms, and its other words on the last axis."""
-    w = np.asarray(counts, float) * idf[np.asarray(terms, int)]
-    if others:
-        terms, w = [*terms, len(idf)], np.append(w, OTHER * others)
-    return terms, w / (np.linalg.norm(w) or 1.0)
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "axis int, n long").groupBy("axis").agg(F.sum("n").alias("n")).toPandas()
+    df = np.zeros(AXES)
+    df[found["axis"].to_numpy(np.int64)] = found["n"].to_numpy()
+    return docs.count(), df
 
 
 class BlockMaxIndex:
-    """Exact nearest examples by cosine, from postings in blocks and the largest weight per term and block."""
+    """Exact nearest examples by cosine, from postings in blocks and the largest weight per axis and block.
+
+    Axes that over a DENSE-th of the examples have keep one weight for every example instead of postings.
+    """
 
-    def __init__(self, vectors: list[tuple[list[int], np.ndarray]], n_terms: int, block: int = BLOCK):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_axes: int, block: int = BLOCK):
         self.size, self.block = len(vectors), block
-        n_blocks = max(1, math.ceil(self.size / block))
-        doc = np.repeat(np.arange(self.size), [len(t) for t, _ in vectors]).astype(np.int64)
-        term = np.array([i for t, _ in vectors for i in t], np.int64)
+        self.n_blocks = max(1, math.ceil(self.size / block))
+        doc = np.repeat(np.arange(self.size), [len(a) for a, _ in vectors]).astype(np.int32)
+        axis = np.concatenate([np.zeros(0, np.int64), *[a for a, _ in vectors]]).astype(np.int64)
         weight = np.concatenate([np.zeros(0), *[w for _, w in vectors]])
-        order = np.lexsort((doc, doc // block, term))
+        self.most = np.zeros(n_axes * self.n_blocks)
+        np.maximum.at(self.most, axis * self.n_blocks + doc // block, weight)
+        self.most = np.nextafter(self.most.astype(np.float32), np.float32(2)).reshape(n_axes, self.n_blocks)  # rounded up
+        full = np.bincount(axis, minlength=n_axes) > self.size // DENSE
+        self.row = np.full(n_axes, -1, np.int32)
+        self.row[full] = np.arange(full.sum())
+        self.dense = np.zeros((int(full.sum()), self.n_blocks * block))
+        in_dense = full[axis]
+        self.dense[self.row[axis[in_dense]], doc[in_dense]] = weight[in_dense]
+        doc, axis, weight = doc[~in_dense], axis[~in_dense], weight[~in_dense]
+        order = np.lexsort((doc, axis))
         self.doc, self.weight = doc[order], weight[order]
-        cell = term[order] * n_blocks + self.doc // block
-        self.ends = np.searchsorted(cell, np.arange(n_terms * n_blocks + 1)).reshape(-1)
-        self.most = np.zeros((n_terms, n_blocks))
-        np.maximum.at(self.most, (term[order], self.doc // block), self.weight)
-        self.n_blocks = n_blocks
-
-    def nearest(self, terms: list[int], weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        self.ends = np.searchsorted(axis[order] * self.n_blocks + self.doc // block, np.arange(n_axes * self.n_blocks + 1)).astype(np.int32)
+
+    def frequent(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the axes held without postings add to the cosines of some vectors, one row each with one column per example."""
+        held = np.zeros((len(vectors), len(self.dense)))
+        for i, (axes, weights) in enumerate(vectors):
+            row = self.row[axes]
+            held[i, row[row >= 0]] = weights[row >= 0]
+        return held @ self.dense
+
+    def cosines(self, axes: np.ndarray, weights: np.ndarray, blocks: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of all examples in some blocks, which are in order."""
+        rare = self.row[axes] < 0
+        cells = (axes[rare, None] * self.n_blocks + blocks[None, :]).ravel()
+        first = self.ends[cells].astype(np.int64)
+        sizes = self.ends[cells + 1] - first
+        held = sizes > 0
+        first, sizes = first[held], sizes[held]
+        take = np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+        sums = np.bincount(self.doc[take], self.weight[take] * np.repeat(np.repeat(weights[rare], len(blocks))[held], sizes), minlength=len(frequent))
+        examples = (blocks[:, None] * self.block + np.arange(self.block)[None, :]).ravel()
+        return examples, sums[examples] + frequent[examples]
+
+    def nearest(self, axes: np.ndarray, weights: np.ndarray, k: int, without: int = -1, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a positive cosine; equal cosines in example order."""
-        terms = np.asarray(terms, np.int64)
-        bounds = weights @ self.most[terms]
+        axes = np.asarray(axes, np.int64)
+        frequent = self.frequent([(axes, weights)])[0] if frequent is None else frequent
+        bounds = weights @ self.most[axes]
         order = np.argsort(-bounds, kind="stable")
-        docs, scores, step, at = np.zeros(0, np.int64), np.zeros(0), 4, 0
-        while at < len(order) and bounds[order[at]] > 0:
-            if len(scores) == k and bounds[order[at]] < scores[-1] - 1e-12:
+        docs, scores = np.zeros(0, np.int64), np.zeros(0)
+        for blocks in (order[:FIRST], order[FIRST:]):
+            least = scores[-1] - 1e-12 if len(scores) == k else 0.0
+            blocks = blocks[(bounds[blocks] > 0) & (bounds[blocks] >= least)]
+            if not len(blocks):
                 break
-            blocks = order[at : at + step]
-            blocks = blocks[bounds[blocks] > 0]
-            cells = (terms[:, None] * self.n_blocks + blocks[None, :]).ravel()
-            first, sizes = self.ends[cells], self.ends[cells + 1] - self.ends[cells]
-            take = np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
-            found, back = np.unique(self.doc[take], return_inverse=True)
-            sums = np.bincount(back, self.weight[take] * np.repeat(np.repeat(weights, len(blocks)), sizes))
-            keep = found != without
+            found, sums = self.cosines(axes, weights, np.sort(blocks), frequent)
+            keep = (sums > 0) & (found != without)
             docs, scores = np.concatenate([docs, found[keep]]), np.concatenate([scores, sums[keep]])
             best = np.lexsort((docs, -scores))[:k]
             docs, scores = docs[best], scores[best]
-            at, step = at + step, step * 2
         return docs, scores
 
 
@@ -190,74 +228,108 @@ def fit_platt(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tup
 
 
 class Model:
-    """Examples, their index, class weights and calibration."""
+    """Examples, their index, the weights of axes and classes, and the calibration."""
 
-    def __init__(self, words: list[str], idf: np.ndarray, rows: list[tuple], k: int = K):
-        self.words, self.idf, self.k = words, idf, k
+    def __init__(self, total: int, df: np.ndarray, rows: list[tuple], classes: dict[int, int], k: int = K):
         rows = sorted(rows, key=lambda r: (r[1], r[0]))
-        vectors = [unit(r[2], r[3], r[4], idf) for r in rows]
-        order = sorted(range(len(rows)), key=lambda i: (-vectors[i][1][-1] if vectors[i][0] and vectors[i][0][-1] == len(idf) else 0.0, i))  # like examples share blocks
+        rows = [(i, y, np.asarray(a, np.int64), np.asarray(c, float)) for i, y, a, c in rows]
+        self.k = k
+        self.weight = np.log((1 + total) / (1 + df)) * self.relevance(rows)
+        held = np.unique(np.concatenate([np.zeros(0, np.int64), *[r[2] for r in rows]]))
+        self.place = np.full(AXES, -1, np.int32)
+        self.place[held] = np.arange(len(held))
+        vectors = [self.unit(r[2], r[3]) for r in rows]
+        order = self.gathered(vectors, len(held))
         rows, vectors = [rows[i] for i in order], [vectors[i] for i in order]
         self.ids, self.labels = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
-        self.index = BlockMaxIndex(vectors, len(words) + 1)
-        share = np.array([r[5] for r in rows], float)  # documents of its class that an example stands for
+        self.index = BlockMaxIndex(vectors, len(held))
+        taken = Counter(r[1] for r in rows)
+        share = np.array([classes.get(r[1], 0) / taken[r[1]] for r in rows])  # documents of its class that an example stands for
         self.weights = share / (share.mean() or 1.0) if len(rows) else share
-        bare = np.array([not len(t) for t, _ in vectors], bool)
-        self.bare = float(((self.labels * self.weights)[bare].sum() + 0.01) / (self.weights[bare].sum() + 1)) if len(rows) else 0.0
-        full = [i for i in range(len(rows)) if not bare[i]]
-        votes = np.array([self.vote(*vectors[i], without=i)[0] for i in full])
+        bare = np.array([not len(a) for a, _ in vectors], bool)
+        rate = lambda m, even: float(((self.labels * self.weights)[m].sum() + 0.01 * even) / (self.weights[m].sum() + even)) if len(rows) else 0.0
+        self.bare, self.prior = rate(bare, 1.0), rate(~bare, 1e-9)
+        full = np.flatnonzero(~bare)
+        votes = np.array([v for v, _, _ in self.votes([vectors[i] for i in full], full.tolist())])
         y = self.labels[full]
-        self.plain: tuple | None = None
         self.curve = fit_platt(votes, y, self.weights[full]) if len(full) and 0 < y.sum() < len(y) else (4.0, -2.0)
 
-    def vote(self, terms: list[int], weights: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        docs, cosines = self.index.nearest(terms, weights, self.k, without)
-        if not len(docs):
-            return self.bare, docs, cosines
-        w = self.weights[docs] / (1.05 - np.minimum(cosines, 1.0))
-        return float((w * self.labels[docs]).sum() / w.sum()), docs, cosines
-
-    def score(self, terms: list[int], counts: list[int], others: int) -> tuple[float, list[int], list[float]]:
-        """Calibrated score with the ids and cosines of the nearest examples; a text without words has the rate of such examples."""
-        if not terms and not others:
-            return min(1.0, max(0.0, self.bare)), [], []
-        if not terms and self.plain:  # one vector for all texts without terms
-            return self.plain
-        vote, docs, cosines = self.vote(*unit(terms, counts, others, self.idf))
-        found = float(1 / (1 + np.exp(-np.clip(self.curve[0] * vote + self.curve[1], -30, 30)))), self.ids[docs].tolist(), cosines.tolist()
-        if not terms:
-            self.plain = found
-        return found
-
-
-def train(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
-    """The model and the term counts of every row of docs, from labels that may be learned from."""
-    chosen = cut(examples(labels))
+    @staticmethod
+    def relevance(rows: list[tuple]) -> np.ndarray:
+        """Per axis, how far the toxic class outweighs the other among the examples with it (1: even or less; 2: it alone), to POWER."""
+        shares = []
+        for y in (1, 0):
+            own = [r[2] for r in rows if r[1] == y]
+            shares.append(np.bincount(np.concatenate([np.zeros(0, np.int64), *own]), minlength=AXES) / max(1, len(own)))
+        even = EVEN / max(1, len(rows))
+        return np.maximum(1.0, 2 * (shares[0] + even) / (shares[0] + shares[1] + 2 * even)) ** POWER
+
+    def gathered(self, vectors: list[tuple], n_axes: int) -> list[int]:
+        """An order of the examples in which those nearest to the same seed stand together."""
+        if len(vectors) <= SEEDS:
+            return list(range(len(vectors)))
+        index = BlockMaxIndex(vectors, n_axes)
+        cosines = np.zeros((SEEDS, index.n_blocks * index.block))
+        for s, at in enumerate(np.linspace(0, len(vectors) - 1, SEEDS).astype(int)):
+            found, sums = index.cosines(*vectors[at], np.arange(index.n_blocks), index.frequent([vectors[at]])[0])
+            cosines[s, found] = sums
+        return np.argsort(cosines[:, : len(vectors)].argmax(0), kind="stable").tolist()
+
+    def unit(self, axes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and weights of a text's vector among the axes of the examples; its length is one over all axes."""
+        w = (1 + np.log(counts)) * self.weight[axes]
+        place = self.place[axes]
+        return place[place >= 0], w[place >= 0] / (np.linalg.norm(w) or 1.0)
+
+    def votes(self, vectors: list[tuple], own: list[int] | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Share of toxic votes, the nearest examples and their cosines for some vectors, without the examples that they are themselves."""
+        out = []
+        for at in range(0, len(vectors), TOGETHER):
+            part = vectors[at : at + TOGETHER]
+            for i, (v, frequent) in enumerate(zip(part, self.index.frequent(part)), at):
+                docs, cosines = self.index.nearest(*v, self.k, own[i] if own else -1, frequent)
+                w = self.weights[docs] / (1.05 - np.minimum(cosines, 1.0))
+                out.append((float((w * self.labels[docs]).sum() / w.sum()) if len(docs) else self.prior, docs, cosines))
+        return out
+
+    def scores(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Calibrated scores of (axes, counts) with the ids and cosines of the nearest examples; a text without words has the rate of such examples."""
+        found = iter(self.votes([self.unit(*t) for t in texts if len(t[0])]))
+        out = []
+        for axes, _ in texts:
+            if not len(axes):
+                out.append((min(1.0, max(0.0, self.bare)), np.zeros(0, np.int64), np.zeros(0)))
+                continue
+            vote, docs, cosines = next(found)
+            out.append((float(1 / (1 + np.exp(-np.clip(self.curve[0] * vote + self.curve[1], -30, 30)))), self.ids[docs], cosines))
+        return out
+
+
+def train(docs: DataFrame, labels: DataFrame, each: int = EXAMPLES) -> Model:
+    """The model, from labels that may be learned from and document frequencies of all docs."""
     bounded_arrow(docs.sparkSession)
-    found = cut(distinct_examples(docs, chosen))
-    words, chosen = vocabulary(found), found.select("doc_id", "toxic")
-    vectors = cut(term_counts(docs, words))
-    counted = dict(vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect())
-    total = vectors.count()
-    idf = np.array([math.log((1 + total) / (1 + counted.get(i, 0))) + 1 for i in range(len(words))])
-    classes = {y: n for y, n in labels.filter(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
-    rows = vectors.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "terms", "counts", "others").collect()
-    taken = Counter(r[1] for r in rows)
-    return Model(words, idf, [(*r, classes[r[1]] / taken[r[1]]) for r in rows]), vectors
-
-
-def scored(vectors: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, predicted and the evidence (example ids and cosines) of every row of term counts."""
-    shared = vectors.sparkSession.sparkContext.broadcast(model)
+    rows = example_counts(docs, cut(drawn(labels, DRAWN * each)), each)
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
+    classes = {y: n for y, n in known.groupBy("toxic").agg(F.count_distinct("doc_id")).collect()}
+    return Model(*document_frequencies(docs), rows, classes)
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score, predicted and the evidence (example ids and cosines) of every row of docs."""
+    bounded_arrow(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = shared.value
-        for ids, terms, counts, others in as_rows(batches, "doc_id", "terms", "counts", "others"):
-            found = [m.score(*x) for x in zip(terms, counts, others)]
-            columns = [pa.array(ids, pa.int64()), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "evidence", "cosines"])
+        m, counter = shared.value, Counts()
+        for b in batches:
+            ends, axes, counts = counter.of(b.column(1).to_pylist())
+            found = m.scores([(axes[i:j], counts[i:j]) for i, j in zip(ends, ends[1:])])
+            offsets = pa.array(np.cumsum([0, *[len(f[1]) for f in found]]), pa.int32())
+            evidence = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, kind), *[f[k] for f in found]]))) for k, kind in ((1, np.int64), (2, np.float64))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.float64()), *evidence], names=["doc_id", "score", "evidence", "cosines"])
 
-    out = vectors.mapInArrow(run, "doc_id long, score double, evidence array<long>, cosines array<double>")
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = thin.mapInArrow(run, "doc_id long, score double, evidence array<long>, cosines array<double>")
     return out.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "cosines")
 
 
@@ -266,7 +338,11 @@ def toxicity_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Labels are learned only from ids that are not held out. Null and empty texts
     have no words and get the rate of label 1 among examples without words; without
-    labels of both classes every score is that rate or 0. Repeated rows give repeated rows.
+    labels of both classes every score is that rate or 0, or the curve's at an even
+    vote. Whole texts count, however long; equal cosines go in example order; repeated
+    rows give repeated rows; an empty table gives none. Other columns are ignored,
+    whatever their names.
     """
-    model, vectors = train(docs, labels.filter(~held_out(F.col("doc_id"))))
-    return scored(vectors, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence", "cosines")
+    docs = docs.select("doc_id", "text")
+    model = train(docs, labels.filter(~held_out(F.col("doc_id"))))
+    return scored(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence", "cosines")

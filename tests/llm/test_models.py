@@ -15,7 +15,7 @@ def test_block_max_search_is_exact():
     for _ in range(300):
         terms = sorted(rng.choice(40, rng.integers(1, 8), replace=False).tolist())
         w = rng.random(len(terms))
-        vectors.append((terms, w / np.linalg.norm(w)))
+        vectors.append((np.array(terms), w / np.linalg.norm(w)))
     dense = np.zeros((300, 40))
     for i, (t, w) in enumerate(vectors):
         dense[i, t] = w
@@ -62,6 +62,47 @@ def test_labels_of_held_out_documents_do_not_matter(toxic):
     assert first == again
 
 
+def test_evidence_equals_brute_force(toxic):
+    docs, labels = toxic
+    docs, labels = docs.filter("doc_id < 200"), labels.filter("doc_id < 200")
+    texts, marks = dict(map(tuple, docs.collect())), {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    counts = {}
+    for i, t in texts.items():
+        counts[i] = {}
+        for w in t.split():
+            for a in toxicity.axes_of(w):
+                counts[i][a] = counts[i].get(a, 0) + 1
+    learned = [i for i in texts if zlib.crc32(str(i).encode()) % 5]
+    weight = {}
+    for a in {a for c in counts.values() for a in c}:
+        with_a = [np.mean([a in counts[i] for i in learned if marks[i] == y]) for y in (1, 0)]
+        even = toxicity.EVEN / len(learned)
+        share = 2 * (with_a[0] + even) / (sum(with_a) + 2 * even)
+        weight[a] = np.log((1 + len(texts)) / (1 + sum(a in c for c in counts.values()))) * max(1, share) ** toxicity.POWER
+    places = {a: n for n, a in enumerate(weight)}
+    dense = np.zeros((len(texts), len(places)))
+    for i, c in counts.items():
+        for a, n in c.items():
+            dense[i, places[a]] = (1 + np.log(n)) * weight[a]
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    for r in toxicity.toxicity_table(docs, labels).collect():
+        cosines = dense[learned] @ dense[r["doc_id"]]
+        assert r["cosines"] == pytest.approx(np.sort(cosines)[::-1][: toxicity.K])
+        assert [cosines[learned.index(i)] for i in r["evidence"]] == pytest.approx(r["cosines"])
+
+
+def test_unlike_neutral_documents_have_unlike_evidence(toxic):
+    rows = toxicity.toxicity_table(*toxic).filter("predicted = 0").collect()
+    assert len({tuple(r["evidence"]) for r in rows}) > 0.95 * len(rows)
+
+
+def test_several_texts_of_one_labelled_id(spark, toxic):
+    docs, labels = toxic
+    more = docs.unionByName(docs.filter("doc_id < 40").select("doc_id", F.reverse("text").alias("text")))
+    first, again = (sorted(map(str, toxicity.toxicity_table(x, labels).collect())) for x in (more, more.repartition(5)))
+    assert first == again
+
+
 def test_toxicity_edges(spark, edge, nothing, no_labels, toxic):
     assert toxicity.toxicity_table(edge, no_labels).count() == edge.count()
     assert toxicity.toxicity_table(nothing, toxic[1]).count() == 0
