@@ -4,16 +4,21 @@ Vectors of one label (and dimension) are compared as points of the unit sphere,
 where cosine >= c means distance <= sqrt(2 - 2c). Equal vectors are one point
 with a count.
 
-A cover tree per label is laid over a bounded sample: nested levels of centres,
-radius 2, 1, 1/2, ..., each centre of a level within that level's radius of one
-above. All points then go to their nearest leaf centre, and what a node covers is
-measured over all points, so pruning is exact whatever the sample held. Leaves
-are parted into rings by distance to the centre. The traversal goes down pairs of
-nodes from (root, root) and drops a pair as soon as the distance of the centres
-exceeds both covering radii by more than the link distance. Rings of the leaf
-pairs that remain are compared in blocks, where each point gets the number of its
-links and a tie to its cluster in the block: results stay linear in the points,
-also where a third of them lie close together.
+The top of each label's cover tree is laid over a bounded sample: nested levels of
+centres, radius 2, 1, 1/2, ..., each centre of a level within that level's radius of
+one above. All points then go to their nearest centre at its foot, and what a node
+covers is measured over all points, so pruning is exact whatever the sample held.
+Below, the points of a foot (parted into rings by distance to the centre, and into
+blocks of at most LEAF) get a tree of their own each, over all of them: radii go on
+being halved down to half the link distance.
+
+The traversal goes down pairs of nodes from (root, root) and drops a pair as soon as
+the distance of the centres exceeds both covering radii by more than the link
+distance: first over the top, which leaves pairs of blocks, then in each pair of
+blocks over their trees. Only vectors of the small nodes whose pairs remain at the
+bottom are compared. Each point gets the number of its links and a tie to its cluster
+in the pair of blocks: results stay linear in the points, also where a third of them
+lie close together.
 """
 
 from __future__ import annotations
@@ -30,11 +35,13 @@ from pyspark.sql import types as T
 from .common import bounded_arrow, components, cut
 
 THRESHOLD = 0.98
-#: Points that a leaf, and a block of one, should hold; most leaves of a label's tree; points sampled for each leaf.
-LEAF, LEAVES, PER_LEAF = 512, 256, 4
+#: Points that a foot of the top, and a block of one, should hold; most feet of a label's top; points sampled for each.
+LEAF, LEAVES, PER_LEAF = 4096, 2048, 4
 #: Width of a ring around a leaf's centre, and points of a label that one task assigns.
 RING, ASSIGN = 0.3, 8192
 SLACK = 1e-9
+#: Distances in single precision may be wrong by so much; vectors compared at a time.
+COARSE, TOGETHER = 4e-3, 1 << 16
 
 
 def units(vectors: np.ndarray) -> np.ndarray:
@@ -176,15 +183,81 @@ def _ring_pairs(rings: DataFrame, trees: DataFrame, reach: float) -> DataFrame:
     return named.groupBy("label", "dim").applyInPandas(traverse, schema)
 
 
+def block_tree(points: np.ndarray, least: float) -> np.ndarray:
+    """Levels of a cover tree over all points, one row each with the centre that every point is under.
+
+    Radii are halved from 2 down to least; centres of a level stay centres below, and
+    all points under one centre are under one centre above.
+    """
+    x = points.astype(np.float32)
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (x @ x.T)))
+    home, radius = np.zeros(len(x), np.int32), 2.0
+    levels = [home]
+    while radius > least:
+        radius = max(radius / 2, least)
+        home = home.copy()
+        order = np.argsort(levels[-1], kind="stable")
+        for members in np.split(order, np.flatnonzero(np.diff(levels[-1][order])) + 1):
+            near = apart[levels[-1][members[0]], members]
+            while len(near) and near.max() > radius:
+                far = members[near.argmax()]
+                own = apart[far, members]
+                home[members[own < near]] = far
+                near = np.minimum(near, own)
+        levels.append(home)
+    return np.stack(levels)
+
+
+class Nodes:
+    """One level of a block's tree: its centres, what they cover, the place of the node above, and its points."""
+
+    def __init__(self, points: np.ndarray, home: np.ndarray, above: np.ndarray | None):
+        self.centres, self.of = np.unique(home, return_inverse=True)
+        gap = np.linalg.norm(points - points[home], axis=1)
+        self.radius = np.zeros(len(self.centres))
+        np.maximum.at(self.radius, self.of, gap)
+        self.above = np.zeros(len(self.centres), np.int64) if above is None else np.searchsorted(np.unique(above), above[self.centres])
+
+
+def dual_links(u: np.ndarray, tree_u: np.ndarray, v: np.ndarray, tree_v: np.ndarray, threshold: float, reach: float) -> tuple[np.ndarray, int, int]:
+    """(linked, node pairs visited, vector pairs compared) of two blocks, by descending their trees together."""
+    alive, visited = np.ones((1, 1), bool), 0
+    a = b = None
+    for level in range(max(len(tree_u), len(tree_v))):
+        row = [t[min(level, len(t) - 1)] for t in (tree_u, tree_v)]
+        up = [t[min(level - 1, len(t) - 1)] if level else None for t in (tree_u, tree_v)]
+        a, b = Nodes(u, row[0], up[0]), Nodes(v, row[1], up[1])
+        alive = alive[np.ix_(a.above, b.above)]
+        visited += int(alive.sum())
+        gap = np.sqrt(np.maximum(0, 2 - 2 * (u[a.centres].astype(np.float32) @ v[b.centres].astype(np.float32).T)))
+        alive &= gap <= (a.radius[:, None] + b.radius[None, :] + (reach + COARSE))
+    linked, compared = np.zeros((len(u), len(v)), bool), 0
+    of_a, of_b = (np.split(np.argsort(x.of, kind="stable"), np.cumsum(np.bincount(x.of))[:-1]) for x in (a, b))
+    size_a, size_b = np.bincount(a.of), np.bincount(b.of)
+    i, j = np.nonzero(alive)
+    large = size_a[i] * size_b[j] > 64
+    for p, q in zip(i[large], j[large]):
+        linked[np.ix_(of_a[p], of_b[q])] = u[of_a[p]] @ v[of_b[q]].T >= threshold
+        compared += len(of_a[p]) * len(of_b[q])
+    small = alive.copy()
+    small[i[large], j[large]] = False
+    x, y = np.nonzero(small[np.ix_(a.of, b.of)]) if small.any() else (i[:0], j[:0])
+    for at in range(0, len(x), TOGETHER):
+        p, q = x[at : at + TOGETHER], y[at : at + TOGETHER]
+        linked[p, q] = np.einsum("ij,ij->i", u[p], v[q]) >= threshold
+    return linked, visited, compared + len(x)
+
+
 def _compare(linked: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """For rows and columns of a link matrix: the least row (or rows + column) of their cluster, by spreading least names."""
     n, m = linked.shape
-    a, b = np.arange(n), np.arange(n, n + m)
+    a, b = np.arange(n, dtype=np.int32), np.arange(n, n + m, dtype=np.int32)
     if same:
         b = a
+    none = np.int32(n + m)
     while True:
-        new_b = np.minimum(b, np.where(linked, a[:, None], n + m).min(0))
-        new_a = np.minimum(a, np.where(linked, new_b[None, :], n + m).min(1))
+        new_b = np.minimum(b, np.where(linked, a[:, None], none).min(0))
+        new_a = np.minimum(a, np.where(linked, new_b[None, :], none).min(1))
         if same:
             new_a = new_b = np.minimum(new_a, new_b)
         if (new_a == a).all() and (new_b == b).all():
@@ -192,6 +265,20 @@ def _compare(linked: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
         a, b = new_a, new_b
 
 
+def _planted(blocks: DataFrame, least: float) -> DataFrame:
+    """blocks (block, rows) with the levels of a tree over each block's points."""
+    schema = T.StructType([*blocks.schema.fields, T.StructField("tree", T.ArrayType(T.ArrayType(T.IntegerType())))])
+
+    def run(batches):
+        for batch in batches:
+            trees = []
+            for i in range(batch.num_rows):
+                trees.append(list(block_tree(units(_matrix(batch.column("rows")[i].values.field("embedding"))), least)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(trees, pa.list_(pa.list_(pa.int32())))], names=[*batch.schema.names, "tree"])
+
+    return blocks.mapInArrow(run, schema)
+
+
 def links(points: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, links, tie) of points (label, dim, node, n, embedding): links to other points' vectors, and a node of the same cluster.
 
@@ -208,7 +295,7 @@ def links(points: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rings = cut(rings.withColumn("chunks", F.ceil(F.col("rows") / LEAF).cast("int")))
     block = F.concat_ws(":", *[F.col(c).cast("string") for c in spot], F.col("chunk").cast("string"))
     blocks = placed.join(rings.select(*spot, "chunks"), spot).withColumn("chunk", F.pmod(F.col("node.key"), F.col("chunks")))
-    blocks = cut(blocks.groupBy(block.alias("block")).agg(F.collect_list(F.struct("node", "n", "embedding")).alias("rows")))
+    blocks = cut(_planted(blocks.groupBy(block.alias("block")).agg(F.collect_list(F.struct("node", "n", "embedding")).alias("rows")), reach / 2))
 
     pairs = _ring_pairs(rings, trees, reach)
     for side in "ab":
@@ -218,7 +305,8 @@ def links(points: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     name = lambda s: F.concat_ws(":", *[F.col(c).cast("string") for c in ("label", "dim", f"leaf_{s}", f"ring_{s}", f"chunk_{s}")])
     same_ring = (F.col("leaf_a") == F.col("leaf_b")) & (F.col("ring_a") == F.col("ring_b"))
     pairs = pairs.filter(~same_ring | (F.col("chunk_a") <= F.col("chunk_b"))).select(name("a").alias("a"), name("b").alias("b"))
-    pairs = pairs.join(blocks.select(F.col("block").alias("a"), F.col("rows").alias("rows_a")), "a").join(blocks.select(F.col("block").alias("b"), F.col("rows").alias("rows_b")), "b")
+    side = lambda s: blocks.select(F.col("block").alias(s), F.struct("rows", "tree").alias(f"rows_{s}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
 
     node = points.schema["node"].dataType.simpleString()
 
@@ -227,13 +315,15 @@ def links(points: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             for i in range(batch.num_rows):
                 a, b, x, y = (batch.column(c)[i] for c in ("a", "b", "rows_a", "rows_b"))
                 same = a.as_py() == b.as_py()
-                x, y = x.values, y.values
-                (nodes_x, times_x, u), (nodes_y, times_y, v) = ((s.field("node"), s.field("n").to_numpy(), units(_matrix(s.field("embedding")))) for s in (x, y))
-                linked = u @ v.T >= threshold
+                (nodes_x, times_x, u), (nodes_y, times_y, v) = ((s.field("node"), s.field("n").to_numpy(), units(_matrix(s.field("embedding")))) for s in (x["rows"].values, y["rows"].values))
+                linked, _, _ = dual_links(u, _matrix(x["tree"].values), v, _matrix(y["tree"].values), threshold, reach)
                 if same:
                     np.fill_diagonal(linked, False)
-                if not linked.any():
+                some_x, some_y = (np.flatnonzero(linked.any(axis)) for axis in (1, 0))
+                if not len(some_x):
                     continue
+                linked = linked[np.ix_(some_x, some_y)]
+                nodes_x, times_x, nodes_y, times_y = nodes_x.take(pa.array(some_x)), times_x[some_x], nodes_y.take(pa.array(some_y)), times_y[some_y]
                 head_x, head_y = _compare(linked, same)
                 nodes = nodes_x if same else pa.concat_arrays([nodes_x, nodes_y])
                 sums = linked @ times_y if same else np.concatenate([linked @ times_y, times_x @ linked])

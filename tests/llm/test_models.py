@@ -193,6 +193,23 @@ def test_embedding_links_equal_brute_force(spark, monkeypatch, leaf):
     assert sorted(got, key=str) == sorted(brute(rows), key=str)
 
 
+@pytest.mark.parametrize("kind", ["spread", "clustered"])
+def test_trees_leave_few_vectors_to_compare(kind):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1200, 64))
+    if kind == "clustered":
+        x = x[rng.integers(0, 40, 1200)] + rng.normal(size=(1200, 64)) * 0.1
+    u = embed_dedup.units(x)
+    reach = np.sqrt(0.04) + embed_dedup.SLACK
+    tree = embed_dedup.block_tree(u, reach / 2)
+    for k, (above, home) in enumerate(zip(tree, tree[1:])):
+        assert set(above) <= set(home) and (above[home] == above).all()
+        assert np.linalg.norm(u - u[home], axis=1).max() <= max(2.0 / 2 ** (k + 1), reach / 2) + embed_dedup.COARSE
+    linked, visited, compared = embed_dedup.dual_links(u, tree, u, tree, 0.98, reach)
+    assert (linked == (u @ u.T >= 0.98)).all()
+    assert compared < 0.05 * len(u) ** 2 and visited < 3 * len(u) ** 2
+
+
 def test_no_embeddings(spark):
     assert embed_dedup.embedding_table(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
