@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -101,13 +102,14 @@ class Counts:
         take = np.arange(reach.sum()) + np.repeat(first[word] - (np.cumsum(reach) - reach), reach)
         keys = np.repeat(row, reach) * AXES + flat[take]
         order = np.argsort(keys)
-        keys, starts = np.unique(keys[order], return_index=True)
-        counts = np.add.reduceat(np.repeat(times, reach)[order], starts)
+        keys = keys[order]
+        starts = np.flatnonzero(np.diff(keys, prepend=-1))
+        keys, counts = keys[starts], np.add.reduceat(np.repeat(times, reach)[order], starts)
         return np.searchsorted(keys, np.arange(len(lists) + 1) * AXES), keys % AXES, counts
 
 
 def example_counts(docs: DataFrame, chosen: DataFrame, each: int = EXAMPLES) -> list[tuple]:
-    """(doc_id, toxic, axes, counts) of at most `each` examples per class, one of each family of near copies of a class.
+    """(doc_id, toxic, axes, counts), the last two as arrays, of at most `each` examples per class, one of each family of near copies of a class.
 
     Of several rows with one id the text of the least hash counts.
     """
@@ -116,34 +118,62 @@ def example_counts(docs: DataFrame, chosen: DataFrame, each: int = EXAMPLES) ->
         counter = Counts()
         for ids, toxic, texts in as_rows(batches, "doc_id", "toxic", "text"):
             ends, axes, counts = counter.of(texts)
-            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (axes, counts)]
+            lists = [pa.array([x[i:j].astype("<i4").tobytes() for i, j in zip(ends, ends[1:])], pa.binary()) for x in (axes, counts)]
             families = pa.array([family(t or "") for t in texts], pa.int64())
             texts = pa.array([xxhash.xxh3_64_intdigest((t or "").encode()) - (1 << 63) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(toxic, pa.int32()), families, texts, *lists], names=["doc_id", "toxic", "family", "text", "axes", "counts"])
 
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    found = found.mapInArrow(run, "doc_id long, toxic int, family long, text long, axes array<int>, counts array<int>")
+    found = found.mapInArrow(run, "doc_id long, toxic int, family long, text long, axes binary, counts binary")
     one = found.groupBy("doc_id").agg(F.min_by(F.struct("*"), F.struct("text", "axes")).alias("r")).select("r.*")
     one = cut(one.groupBy("toxic", "family").agg(F.min_by(F.struct("doc_id", "axes", "counts"), "doc_id").alias("r")).select("toxic", "r.*"))
     part = lambda y: one.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
-    return [tuple(r) for r in part(0).unionByName(part(1)).select("doc_id", "toxic", "axes", "counts").collect()]
+    rows = part(0).unionByName(part(1)).select("doc_id", "toxic", "axes", "counts").toArrow().to_pydict()
+    return [(i, y, np.frombuffer(a, "<i4"), np.frombuffer(c, "<i4")) for i, y, a, c in zip(*rows.values())]
 
 
-def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """The number of documents, and in how many of them each axis occurs, over all whole texts."""
+def packed(axes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Axes in order, as gaps, and their counts, compressed."""
+    return zlib.compress(np.concatenate([np.diff(axes, prepend=0), counts]).astype("<i4").tobytes(), 1) if len(axes) else b""
+
+
+def unpacked(held: bytes) -> tuple[np.ndarray, np.ndarray]:
+    if not held:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    both = np.frombuffer(zlib.decompress(held), "<i4").reshape(2, -1)
+    return np.cumsum(both[0], dtype=np.int64), both[1]
+
+
+def text_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, held) of every row: the packed counts of axes in its whole text."""
     bounded_arrow(docs.sparkSession)
 
     def run(batches):
-        counter, held = Counts(), np.zeros(AXES, np.int64)
-        for (texts,) in as_rows(batches, "text"):
-            held += np.bincount(counter.of(texts)[1], minlength=AXES)
+        counter = Counts()
+        for b in batches:
+            ends, axes, counts = counter.of(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([packed(axes[i:j], counts[i:j]) for i, j in zip(ends, ends[1:])], pa.binary())], names=["doc_id", "held"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held binary")
+
+
+def document_frequencies(counted: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of rows of text_counts, and in how many of them each axis occurs."""
+
+    def run(batches):
+        held, rows = np.zeros(AXES + 1, np.int64), 0
+        for b in batches:
+            rows += b.num_rows
+            axes = [unpacked(x)[0] for x in b.column(0).to_pylist()]
+            held[:AXES] += np.bincount(np.concatenate([np.zeros(0, np.int64), *axes]), minlength=AXES)
+        held[AXES] = rows
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(held[at], pa.int64())], names=["axis", "n"])
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "axis int, n long").groupBy("axis").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(AXES)
-    df[found["axis"].to_numpy(np.int64)] = found["n"].to_numpy()
-    return docs.count(), df
+    found = counted.select("held").mapInArrow(run, "axis int, n long").groupBy("axis").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(AXES + 1)
+    df[found.column("axis").to_numpy()] = found.column("n").to_numpy()
+    return int(df[AXES]), df[:AXES]
 
 
 class BlockMaxIndex:
@@ -158,9 +188,8 @@ class BlockMaxIndex:
         doc = np.repeat(np.arange(self.size), [len(a) for a, _ in vectors]).astype(np.int32)
         axis = np.concatenate([np.zeros(0, np.int64), *[a for a, _ in vectors]]).astype(np.int64)
         weight = np.concatenate([np.zeros(0), *[w for _, w in vectors]])
-        self.most = np.zeros(n_axes * self.n_blocks)
-        np.maximum.at(self.most, axis * self.n_blocks + doc // block, weight)
-        self.most = np.nextafter(self.most.astype(np.float32), np.float32(2)).reshape(n_axes, self.n_blocks)  # rounded up
+        self.most = np.zeros((n_axes, self.n_blocks), np.float32)
+        np.maximum.at(self.most, (axis, doc // block), np.nextafter(weight.astype(np.float32), np.float32(2)))  # rounded up
         full = np.bincount(axis, minlength=n_axes) > self.size // DENSE
         self.row = np.full(n_axes, -1, np.int32)
         self.row[full] = np.arange(full.sum())
@@ -170,7 +199,8 @@ class BlockMaxIndex:
         doc, axis, weight = doc[~in_dense], axis[~in_dense], weight[~in_dense]
         order = np.lexsort((doc, axis))
         self.doc, self.weight = doc[order], weight[order]
-        self.ends = np.searchsorted(axis[order] * self.n_blocks + self.doc // block, np.arange(n_axes * self.n_blocks + 1)).astype(np.int32)
+        self.ends = np.zeros(n_axes * self.n_blocks + 1, np.int32)
+        np.cumsum(np.bincount(axis * self.n_blocks + doc // block, minlength=n_axes * self.n_blocks), out=self.ends[1:])
 
     def frequent(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """What the axes held without postings add to the cosines of some vectors, one row each with one column per example."""
@@ -208,7 +238,8 @@ class BlockMaxIndex:
             found, sums = self.cosines(axes, weights, np.sort(blocks), frequent)
             keep = (sums > 0) & (found != without)
             docs, scores = np.concatenate([docs, found[keep]]), np.concatenate([scores, sums[keep]])
-            best = np.lexsort((docs, -scores))[:k]
+            near = np.flatnonzero(scores >= np.partition(scores, -k)[-k]) if len(scores) > k else np.arange(len(scores))
+            best = near[np.lexsort((docs[near], -scores[near]))[:k]]
             docs, scores = docs[best], scores[best]
         return docs, scores
 
@@ -268,7 +299,7 @@ class Model:
         """An order of the examples in which those nearest to the same seed stand together."""
         if len(vectors) <= SEEDS:
             return list(range(len(vectors)))
-        index = BlockMaxIndex(vectors, n_axes)
+        index = BlockMaxIndex(vectors, n_axes, len(vectors))
         cosines = np.zeros((SEEDS, index.n_blocks * index.block))
         for s, at in enumerate(np.linspace(0, len(vectors) - 1, SEEDS).astype(int)):
             found, sums = index.cosines(*vectors[at], np.arange(index.n_blocks), index.frequent([vectors[at]])[0])
@@ -305,31 +336,28 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, each: int = EXAMPLES) -> Model:
-    """The model, from labels that may be learned from and document frequencies of all docs."""
+def train(docs: DataFrame, labels: DataFrame, each: int = EXAMPLES) -> tuple[Model, DataFrame]:
+    """The model, and the counts of every row of docs, from labels that may be learned from and document frequencies of all docs."""
     bounded_arrow(docs.sparkSession)
     rows = example_counts(docs, cut(drawn(labels, DRAWN * each)), each)
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     classes = {y: n for y, n in known.groupBy("toxic").agg(F.count_distinct("doc_id")).collect()}
-    return Model(*document_frequencies(docs), rows, classes)
+    counted = cut(text_counts(docs))
+    return Model(*document_frequencies(counted), rows, classes), counted
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, predicted and the evidence (example ids and cosines) of every row of docs."""
-    bounded_arrow(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scored(counted: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score, predicted and the evidence (example ids and cosines) of every row of counts."""
+    shared = counted.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m, counter = shared.value, Counts()
         for b in batches:
-            ends, axes, counts = counter.of(b.column(1).to_pylist())
-            found = m.scores([(axes[i:j], counts[i:j]) for i, j in zip(ends, ends[1:])])
+            found = shared.value.scores([unpacked(x) for x in b.column(1).to_pylist()])
             offsets = pa.array(np.cumsum([0, *[len(f[1]) for f in found]]), pa.int32())
             evidence = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, kind), *[f[k] for f in found]]))) for k, kind in ((1, np.int64), (2, np.float64))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.float64()), *evidence], names=["doc_id", "score", "evidence", "cosines"])
 
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = thin.mapInArrow(run, "doc_id long, score double, evidence array<long>, cosines array<double>")
+    out = counted.select("doc_id", "held").mapInArrow(run, "doc_id long, score double, evidence array<long>, cosines array<double>")
     return out.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "cosines")
 
 
@@ -344,5 +372,5 @@ def toxicity_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
     whatever their names.
     """
     docs = docs.select("doc_id", "text")
-    model = train(docs, labels.filter(~held_out(F.col("doc_id"))))
-    return scored(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence", "cosines")
+    model, counted = train(docs, labels.filter(~held_out(F.col("doc_id"))))
+    return scored(counted, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence", "cosines")
