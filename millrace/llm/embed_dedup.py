@@ -229,8 +229,14 @@ def dual_links(u: np.ndarray, tree_u: np.ndarray, v: np.ndarray, tree_v: np.ndar
         a, b = Nodes(u, row[0], up[0]), Nodes(v, row[1], up[1])
         alive = alive[np.ix_(a.above, b.above)]
         visited += int(alive.sum())
-        gap = np.sqrt(np.maximum(0, 2 - 2 * (u[a.centres].astype(np.float32) @ v[b.centres].astype(np.float32).T)))
-        alive &= gap <= (a.radius[:, None] + b.radius[None, :] + (reach + COARSE))
+        c, d = u[a.centres].astype(np.float32), v[b.centres].astype(np.float32)
+        if 20 * alive.sum() < alive.size:  # few pairs are left: no whole matrix of distances
+            i, j = np.nonzero(alive)
+            for at in range(0, len(i), TOGETHER):
+                p, q = i[at : at + TOGETHER], j[at : at + TOGETHER]
+                alive[p, q] = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", c[p], d[q]))) <= a.radius[p] + b.radius[q] + (reach + COARSE)
+        else:
+            alive &= np.sqrt(np.maximum(0, 2 - 2 * (c @ d.T))) <= (a.radius[:, None] + b.radius[None, :] + (reach + COARSE)).astype(np.float32)
     linked, compared = np.zeros((len(u), len(v)), bool), 0
     of_a, of_b = (np.split(np.argsort(x.of, kind="stable"), np.cumsum(np.bincount(x.of))[:-1]) for x in (a, b))
     size_a, size_b = np.bincount(a.of), np.bincount(b.of)

@@ -6,15 +6,16 @@ differ in at most `distance` bits, and links are followed to components.
 
 Links are looked for among distinct fingerprints, so copies cost nothing:
 
-1. References of the first kind lie on the axes: the 64 one-bit fingerprints.
-   d(x, 2^i) tells bit i of x, so two fingerprints have no coordinate difference
-   over the references of a set of bands just if these bands are equal. Bits
-   form distance + 3 bands; a pair within `distance` bits agrees on at least 3
-   of them. Fingerprints that agree on some three bands meet, by an equi-join.
-2. References of the second kind are spread at random. Every fingerprint carries
-   its distances to them; a pair that met is discarded where any of these
-   coordinates differs by more than `distance` (the triangle inequality).
-3. Survivors are verified by counting differing bits.
+1. Every fingerprint x gets its Hamming distances to fixed references: to zero, to
+   32 references that have the two bits of one band each, and to PIVOTS spread ones.
+   d(x, 0) - d(x, band) is twice the number of x's bits in the band, less two. So two
+   fingerprints within 2 bits agree on these differences for all but two bands at
+   most, hence on at least three of five groups of bands.
+2. Fingerprints that agree on some three groups of columns of this table meet, by an
+   equi-join on the distances. No bit has been compared so far.
+3. A pair that met is discarded if any of its distances to the references differs by
+   more than `distance` (the triangle inequality).
+4. Survivors are verified by counting differing bits.
 
 A meeting point with over GROUP fingerprints (a large family of near copies) is
 not compared pair by pair. Two fingerprints are within 2 bits just if some point
@@ -38,8 +39,8 @@ from .common import bounded_arrow, components, cut, id_or_zero, once_each, row_k
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: Above so many fingerprints at one meeting point, they meet around single-bit changes instead.
 GROUP = 64
-#: Number of spread references, whose distances every fingerprint carries.
-PIVOTS = 16
+#: Number of spread references; of references of one band each, and of the groups of these that pairs meet by.
+PIVOTS, BANDS, GROUPS = 16, 32, 5
 #: Shingles are counted in pieces of this many, so that one very long text needs little memory.
 PIECE = 1 << 15
 
@@ -53,11 +54,23 @@ def spread_references(n: int = PIVOTS) -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(str(i).encode(), SEED)) for i in range(1, n + 1)]
 
 
-def band_masks(distance: int = DISTANCE) -> list[int]:
-    """Masks over any 3 of distance + 3 bands of bits."""
-    n = distance + 3
-    bands = [sum(1 << i for i in range(64) if i * n // 64 == b) for b in range(n)]
-    return [_signed(sum(c)) for c in combinations(bands, 3)]
+def references() -> list[int]:
+    """Zero, the bits of each band, and the spread references."""
+    width = 64 // BANDS
+    return [0, *[_signed(((1 << width) - 1) << (width * b)) for b in range(BANDS)], *spread_references()]
+
+
+def pivot_table(fp: Column) -> Column:
+    """The distances of a fingerprint to all references."""
+    return F.array(*[F.bit_count(fp.bitwiseXOR(F.lit(r))).cast("byte") for r in references()])
+
+
+def meeting_points(pivots: Column) -> Column:
+    """(mask, key) for each choice of three groups of bands: the distances to zero less those to the bands, packed."""
+    own = [sum((pivots[0] - pivots[1 + b] + 2).cast("long") * 3**k for k, b in enumerate(range(g, BANDS, GROUPS))) for g in range(GROUPS)]
+    size = 3 ** (-(-BANDS // GROUPS)) * 2
+    chosen = list(combinations(range(GROUPS), 3))
+    return F.array(*[F.struct(F.lit(i).cast("byte").alias("mask"), (own[a] + size * (own[b] + size * own[c])).alias("key")) for i, (a, b, c) in enumerate(chosen)])
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -99,13 +112,11 @@ def links(nodes: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> Dat
     if distance != 2:
         raise ValueError("large groups are exact for a distance of 2 bits only")
     x = F.col("fp")
-    pivots = F.array(*[F.bit_count(x.bitwiseXOR(F.lit(r))).cast("byte") for r in spread_references()])
-    meets = F.array(*[F.struct(F.lit(i).cast("byte").alias("mask"), x.bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(band_masks(distance))])
-    keyed = nodes.select("node", "fp", F.explode(meets).alias("meet")).select("node", "fp", "meet.*")
+    keyed = nodes.withColumn("pivots", pivot_table(x)).select("node", "fp", F.explode(meeting_points(F.col("pivots"))).alias("meet")).select("node", "fp", "meet.*")
     sizes = cut(keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     met = cut(keyed.join(sizes, ["mask", "key"]))
 
-    small = met.filter(F.col("n") <= group).withColumn("pivots", pivots).groupBy("mask", "key").agg(F.sort_array(F.collect_list(F.struct("fp", "pivots", "node"))).alias("g"))
+    small = met.filter(F.col("n") <= group).withColumn("pivots", pivot_table(x)).groupBy("mask", "key").agg(F.sort_array(F.collect_list(F.struct("fp", "pivots", "node"))).alias("g"))
     near = lambda p, q: F.forall(F.zip_with(p.pivots, q.pivots, lambda u, v: F.abs(u - v) <= distance), lambda ok: ok)
     verified = lambda p, q: F.bit_count(p.fp.bitwiseXOR(q.fp)) <= distance
     partners = lambda p: F.transform(F.filter("g", lambda q: (q.fp > p.fp) & near(p, q) & verified(p, q)), lambda q: F.struct(p.node.alias("a"), q.node.alias("b")))
