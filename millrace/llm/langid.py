@@ -4,15 +4,20 @@ A known word scores its log frequency in each language. A word that the model
 does not know falls back to its character n-grams (with word ends): to the longest
 length of which it has any known n-gram, the mean of their log frequencies.
 
+Words are runs of letters with the marks that go with them; numerals are no letters.
 Counts cover every training document. The model keeps the most frequent words and
-n-grams, a fixed number for all languages together, so its size does not depend on
-the corpus; count thresholds per language come from histograms of counts.
+n-grams of every language, a fixed number for all languages together, so its size
+does not depend on the corpus; what is kept has its true counts in all languages.
+Count thresholds per language come from histograms of counts.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter, defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +28,41 @@ from .common import as_rows, bounded_arrow, cut
 
 #: Most words and most n-grams in the model, and the longest n-gram.
 WORDS, GRAMS, LONGEST = 160_000, 240_000, 4
-#: Word counts that a task holds before it hands them on; scores of words that a worker remembers.
-HELD, REMEMBERED = 100_000, 200_000
+#: Word counts that a task holds before it hands them on; scores (one for each language of a word) that a worker remembers.
+HELD, REMEMBERED = 100_000, 1_000_000
 SMOOTH = 0.5
 UNKNOWN = "und"
-_words = re.compile(r"[^\W\d_]+").findall
+#: Texts without code points from here on need only the letters before it.
+LATIN = 0x300
+
+
+def _class(kinds: str, end: int) -> str:
+    """A character class of the code points below end whose Unicode category begins with one of kinds."""
+    ranges: list[list[int]] = []
+    for c in range(end):
+        if unicodedata.category(chr(c))[0] in kinds:
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+def _finder() -> Callable[[str], list[str]]:
+    latin = re.compile(f"[{_class('L', LATIN)}]+").findall
+    every = re.compile(f"[{_class('L', sys.maxunicode + 1)}][{_class('LM', sys.maxunicode + 1)}]*").findall
+    beyond = re.compile(f"[^\\x00-\\u{LATIN - 1:04x}]").search
+    return lambda text: every(text) if not text.isascii() and beyond(text) else latin(text)
+
+
+_find: Callable[[str], list[str]] | None = None
+
+
+def words_of(text: str | None) -> list[str]:
+    """The lower-case words of a text."""
+    global _find
+    _find = _find or _finder()
+    return _find(text.lower()) if text else []
 
 
 def held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
@@ -43,7 +78,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         counts: dict[str, Counter] = defaultdict(Counter)
         for langs, texts in as_rows(batches, "lang", "text"):
             for lang, text in zip(langs, texts):
-                counts[lang].update(_words(text.lower()))
+                counts[lang].update(words_of(text))
             if sum(map(len, counts.values())) > HELD:
                 yield from given(counts)
                 counts.clear()
@@ -64,8 +99,11 @@ def gram_counts(words: DataFrame) -> DataFrame:
     return w.select("lang", "n", F.explode(grams).alias("word")).groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame, most: int) -> list[tuple[str, str, int]]:
-    """The rows with the highest counts of every language, at most `most` in all (equal counts near the limit go together)."""
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[str, list[str], list[int]]]:
+    """(word, langs, counts) of the words among the most frequent of some language, with their counts in all languages.
+
+    Every language brings an equal part of `most`; of equal counts at its limit all or none.
+    """
     level = F.floor(F.log2("n") * 8).cast("int")
     histogram = counts.groupBy("lang", level.alias("level")).agg(F.count(F.lit(1)).alias("rows")).collect()
     by_lang: dict[str, list] = defaultdict(list)
@@ -84,41 +122,49 @@ def most_frequent(counts: DataFrame, most: int) -> list[tuple[str, str, int]]:
     if not kept:
         return []
     floors = counts.sparkSession.createDataFrame(kept, "lang string, least int")
-    rows = counts.join(F.broadcast(floors), "lang").filter(level >= F.col("least")).select("lang", "word", "n")
-    return [tuple(r) for r in rows.collect()]
+    marked = counts.join(F.broadcast(floors), "lang", "left").withColumn("kept", F.coalesce(level >= F.col("least"), F.lit(False)))
+    found = marked.groupBy("word").agg(F.max("kept").alias("kept"), F.sort_array(F.collect_list(F.struct("lang", "n"))).alias("of")).filter("kept")
+    rows = found.select("word", "of.lang", "of.n").toArrow().to_pydict()
+    return list(zip(*rows.values()))
 
 
 class LanguageModel:
-    """Log frequencies of words and n-grams per language."""
+    """Log frequencies of words and n-grams, for the languages that have them."""
 
-    def __init__(self, words: list[tuple[str, str, int]], grams: list[tuple[str, str, int]], documents: dict[str, int]):
+    def __init__(self, words: list[tuple], grams: list[tuple], documents: dict[str, int]):
         self.langs = sorted(documents)
         self.prior = np.log(np.array([documents[x] for x in self.langs], float)) if documents else np.zeros(0)
         self.words = self._table(words)
         self.grams = self._table(grams)
 
-    def _table(self, rows: list[tuple[str, str, int]]) -> tuple[dict[str, int], np.ndarray]:
-        """Rows of a matrix of log frequencies by word or n-gram; one number per word keeps workers small."""
+    def _table(self, rows: list[tuple]) -> tuple:
+        """(place by word, ends, languages, log frequencies, log frequency of what a language lacks)."""
         lang = {x: i for i, x in enumerate(self.langs)}
-        place: dict[str, int] = {}
-        for _, word, _ in rows:
-            place.setdefault(word, len(place))
-        counts = np.full((len(place), len(self.langs)), SMOOTH)
-        for name, word, n in rows:
-            counts[place[word], lang[name]] += n
-        return place, np.log(counts / np.maximum(counts.sum(0), SMOOTH)).astype(np.float32)
+        ends = np.cumsum([0, *[len(langs) for _, langs, _ in rows]]).astype(np.int32)
+        which = np.array([lang[x] for _, langs, _ in rows for x in langs], np.int32)
+        counts = np.array([n for _, _, ns in rows for n in ns], float)
+        total = np.log(np.maximum(np.bincount(which, counts, len(lang)) + SMOOTH * len(rows), SMOOTH)) if lang else np.zeros(0)
+        return {word: i for i, (word, _, _) in enumerate(rows)}, ends, which, (np.log(counts + SMOOTH) - total[which]).astype(np.float32), (np.log(SMOOTH) - total).astype(np.float32)
+
+    @staticmethod
+    def _mean(table: tuple, places: list[int]) -> np.ndarray:
+        """Mean log frequencies per language of some rows of a table."""
+        _, ends, which, logs, none = table
+        total = none * np.float32(len(places))
+        for p in places:
+            a, b = ends[p], ends[p + 1]
+            total[which[a:b]] += logs[a:b] - none[which[a:b]]
+        return total / np.float32(len(places))
 
     def word(self, word: str) -> np.ndarray:
         """Log frequency of a word per language, by words or else by the longest n-grams known."""
-        place, table = self.words
-        if (found := place.get(word)) is not None:
-            return table[found]
-        place, table = self.grams
-        word = f"^{word}$"
+        if (found := self.words[0].get(word)) is not None:
+            return self._mean(self.words, [found])
+        place, word = self.grams[0], f"^{word}$"
         for k in range(LONGEST, 0, -1):
             known = [g for i in range(len(word) - k + 1) if (g := place.get(word[i : i + k])) is not None]
             if known:
-                return table[known].mean(0)
+                return self._mean(self.grams, known)
         return np.zeros(len(self.langs), np.float32)
 
     def judge(self, scores: np.ndarray, n: np.ndarray) -> tuple[list[str | None], np.ndarray]:
@@ -137,7 +183,7 @@ def train(docs: DataFrame) -> LanguageModel:
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     words = cut(word_counts(known))
     documents = {lang: n for lang, n in known.groupBy("lang").count().collect()}
-    return LanguageModel(most_frequent(words, WORDS), most_frequent(gram_counts(words), GRAMS), documents)
+    return LanguageModel(most_frequent(words, WORDS), most_frequent(cut(gram_counts(words)), GRAMS), documents)
 
 
 def predicted(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -150,10 +196,10 @@ def predicted(docs: DataFrame, model: LanguageModel) -> DataFrame:
         known: dict[str, int] = {}
         table = np.zeros((1024, len(m.langs)), np.float32)
         for ids, texts in as_rows(batches, "doc_id", "text"):
-            lists = [_words(t.lower()) if t else [] for t in texts]
+            lists = [words_of(t) for t in texts]
             n = np.array([len(x) for x in lists], np.int64)
             coded = pa.array([w for x in lists for w in x], pa.string()).dictionary_encode()
-            if len(known) > REMEMBERED:
+            if len(known) * len(m.langs) > REMEMBERED:
                 known.clear()
             words = coded.dictionary.to_pylist()
             for w in words:
@@ -176,7 +222,10 @@ def language_table(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row; trained on the rows that are not held out.
 
     A row with a null id is neither held out nor learned from. Without any training
-    row every prediction is `und`. Repeated rows give repeated rows.
+    row every prediction is `und`. Null texts and texts without a letter are `und`, with
+    score 0. Whole texts count, however long; of languages with equal scores the first
+    by name is taken. Repeated rows give repeated rows, an empty table none; other
+    columns are ignored, whatever their names.
     """
     model = train(docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
     return predicted(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

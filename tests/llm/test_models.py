@@ -132,18 +132,66 @@ def test_held_out_languages(tongues):
 
 
 def test_unseen_words_fall_back_to_ever_shorter_grams():
-    m = langid.LanguageModel([("x", "known", 9), ("y", "known", 1)], [("x", "^ab", 5), ("y", "zz", 5), ("y", "q", 5)], {"x": 1, "y": 1})
+    m = langid.LanguageModel([("known", ["x", "y"], [9, 1])], [("^ab", ["x"], [5]), ("zz", ["y"], [5]), ("q", ["y"], [5])], {"x": 1, "y": 1})
     best = lambda w: m.langs[int(m.word(w).argmax())]
     assert [best(w) for w in ("known", "abzz", "czz", "q")] == ["x", "x", "y", "y"]
     assert m.word("漢").tolist() == [0.0, 0.0]
 
 
-def test_model_size_is_bounded(tongues):
+def test_words_are_letters_with_their_marks():
+    assert langid.words_of("Straße ½² Ⅷ ① x2y_z हिन्दी E\u0301a 漢字 𐐨") == ["straße", "x", "y", "z", "हिन्दी", "e\u0301a", "漢字", "𐐨"]
+    assert langid.words_of("½ ² ① Ⅷ 12 \u0301 _") == langid.words_of(None) == []
+    assert langid.words_of("a½b µ²") == ["a", "b", "µ".lower()]
+
+
+def test_what_the_model_keeps_is_bounded_and_has_all_counts(tongues):
     counts = langid.word_counts(tongues)
     kept = langid.most_frequent(counts, 60)
-    assert 0 < len(kept) <= 60 and {lang for lang, _, _ in kept} == {"aa", "bb", "cc"}
-    everything = {(r["lang"], r["word"]): r["n"] for r in counts.collect()}
-    assert all(everything[lang, w] == n for lang, w, n in kept)
+    everything: dict = {}
+    for r in counts.collect():
+        everything.setdefault(r["word"], {})[r["lang"]] = r["n"]
+    assert 0 < len(kept) <= 60
+    assert all(dict(zip(langs, ns)) == everything[w] for w, langs, ns in kept)
+
+
+def test_language_scores_equal_brute_force(tongues):
+    rows = {r["doc_id"]: r for r in tongues.collect()}
+    learned = [r for r in rows.values() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    langs = sorted({r["lang"] for r in learned})
+    words, grams = ({x: {} for x in langs} for _ in range(2))
+    for r in learned:
+        for w in r["text"].split():
+            words[r["lang"]][w] = words[r["lang"]].get(w, 0) + 1
+            for k in range(1, 5):
+                for i in range(len(w) + 3 - k):
+                    g = f"^{w}$"[i : i + k]
+                    grams[r["lang"]][g] = grams[r["lang"]].get(g, 0) + 1
+
+    def logs(table, x):
+        size = len({w for t in table.values() for w in t})
+        return np.array([np.log((table[y].get(x, 0) + 0.5) / (sum(table[y].values()) + 0.5 * size)) for y in langs])
+
+    def word(w):
+        if any(w in t for t in words.values()):
+            return logs(words, w)
+        for k in range(4, 0, -1):
+            known = [g for i in range(len(w) + 3 - k) if any((g := f"^{w}$"[i : i + k]) in t for t in grams.values())]
+            if known:
+                return np.mean([logs(grams, g) for g in known], 0)
+        return np.zeros(len(langs))
+
+    prior = np.log([sum(r["lang"] == x for r in learned) for x in langs])
+    for r in langid.language_table(tongues).collect():
+        text = rows[r["doc_id"]]["text"].split()
+        scores = sum(map(word, text)) + prior
+        p = np.exp((scores - scores.max()) / np.sqrt(len(text)))
+        assert r["lang_pred"] == langs[int(scores.argmax())] and r["score"] == pytest.approx(p.max() / p.sum(), rel=1e-4)
+
+
+def test_numerals_are_no_language(spark, tongues):
+    odd = spark.createDataFrame([(1000, "½ ² ① Ⅷ 42", "aa"), (1001, "", None), (1002, None, "aa")], "doc_id long, text string, lang string")
+    got = langid.language_table(tongues.unionByName(odd)).filter("doc_id >= 1000").collect()
+    assert {(r["lang_pred"], r["score"]) for r in got} == {("und", 0.0)} and len(got) == 3
 
 
 def test_language_edges(edge, nothing, tongues):
