@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import as_rows, bounded_arrow, cut
 
 #: Documented bounds: examples per class, axes of the vector space, neighbours, examples per block of the index.
-EXAMPLES, AXES, K, BLOCK = 2000, 1 << 20, 15, 128
+EXAMPLES, AXES, K, BLOCK = 1500, 1 << 20, 15, 128
 #: Labelled ids are drawn by this factor more than EXAMPLES, since near copies among them go.
 DRAWN = 2
 #: Lengths of the beginnings of words that have axes of their own.
@@ -40,8 +40,8 @@ BEGINNINGS = (4, 6)
 EVEN, POWER = 20, 3
 #: Blocks visited first, example vectors that like examples are gathered around, and words that a worker remembers.
 FIRST, SEEDS, REMEMBERED = 4, 24, 400_000
-#: Texts whose frequent axes are multiplied together, and the share of the examples beyond which an axis is held without postings.
-TOGETHER, DENSE = 64, 10
+#: Texts whose dense axes are multiplied together; the share of the examples beyond which an axis is dense, and the number up to which it is scarce.
+TOGETHER, DENSE, SCARCE = 64, 10, 8
 SEED = 42
 _words = re.compile(r"[^\W\d_]+").findall
 
@@ -177,65 +177,77 @@ def document_frequencies(counted: DataFrame) -> tuple[int, np.ndarray]:
 
 
 class BlockMaxIndex:
-    """Exact nearest examples by cosine, from postings in blocks and the largest weight per axis and block.
+    """Exact nearest examples by cosine: postings in blocks, and the largest weight per axis and block.
 
-    Axes that over a DENSE-th of the examples have keep one weight for every example instead of postings.
+    Axes that over a DENSE-th of the examples have keep one weight for every example
+    instead, and those that at most SCARCE have plain postings; what these two kinds
+    add to a cosine is known exactly before bounds are taken. Weights are of single
+    precision, and a bound must be short of the K-th cosine by more than its error.
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_axes: int, block: int = BLOCK):
         self.size, self.block = len(vectors), block
         self.n_blocks = max(1, math.ceil(self.size / block))
-        doc = np.repeat(np.arange(self.size), [len(a) for a, _ in vectors]).astype(np.int32)
+        doc = np.repeat(np.arange(self.size, dtype=np.int32), [len(a) for a, _ in vectors])
         axis = np.concatenate([np.zeros(0, np.int64), *[a for a, _ in vectors]]).astype(np.int64)
-        weight = np.concatenate([np.zeros(0), *[w for _, w in vectors]])
-        self.most = np.zeros((n_axes, self.n_blocks), np.float32)
-        np.maximum.at(self.most, (axis, doc // block), np.nextafter(weight.astype(np.float32), np.float32(2)))  # rounded up
-        full = np.bincount(axis, minlength=n_axes) > self.size // DENSE
-        self.row = np.full(n_axes, -1, np.int32)
-        self.row[full] = np.arange(full.sum())
-        self.dense = np.zeros((int(full.sum()), self.n_blocks * block))
-        in_dense = full[axis]
-        self.dense[self.row[axis[in_dense]], doc[in_dense]] = weight[in_dense]
-        doc, axis, weight = doc[~in_dense], axis[~in_dense], weight[~in_dense]
+        weight = np.concatenate([np.zeros(0), *[w for _, w in vectors]]).astype(np.float32)
         order = np.lexsort((doc, axis))
-        self.doc, self.weight = doc[order], weight[order]
-        self.ends = np.zeros(n_axes * self.n_blocks + 1, np.int32)
-        np.cumsum(np.bincount(axis * self.n_blocks + doc // block, minlength=n_axes * self.n_blocks), out=self.ends[1:])
-
-    def frequent(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """What the axes held without postings add to the cosines of some vectors, one row each with one column per example."""
+        doc, axis, weight = doc[order], axis[order], weight[order]
+        n = np.bincount(axis, minlength=n_axes)
+        self.kind = np.where(n > self.size // DENSE, 0, np.where(n <= SCARCE, 2, 1)).astype(np.int8)
+        self.row = np.zeros(n_axes, np.int32)
+        for k in range(3):
+            self.row[self.kind == k] = np.arange((self.kind == k).sum())
+        dense, middle, scarce = (self.kind[axis] == k for k in range(3))
+        row = self.row[axis]
+        self.dense = np.zeros(((self.kind == 0).sum(), self.n_blocks * block), np.float32)
+        self.dense[row[dense], doc[dense]] = weight[dense]
+        self.scarce = doc[scarce], weight[scarce], np.concatenate([[0], np.cumsum(n[self.kind == 2])]).astype(np.int32)
+        self.doc, self.weight, row = doc[middle], weight[middle], row[middle]
+        n_middle = int((self.kind == 1).sum())
+        self.most = np.zeros((n_middle, self.n_blocks), np.float32)
+        np.maximum.at(self.most, (row, self.doc // block), self.weight)
+        self.ends = np.zeros(n_middle * self.n_blocks + 1, np.int32)
+        np.cumsum(np.bincount(row.astype(np.int64) * self.n_blocks + self.doc // block, minlength=n_middle * self.n_blocks), out=self.ends[1:])
+
+    def known(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What dense and scarce axes add to the cosines of some vectors, one row each with one column per example."""
         held = np.zeros((len(vectors), len(self.dense)))
         for i, (axes, weights) in enumerate(vectors):
-            row = self.row[axes]
-            held[i, row[row >= 0]] = weights[row >= 0]
-        return held @ self.dense
-
-    def cosines(self, axes: np.ndarray, weights: np.ndarray, blocks: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of all examples in some blocks, which are in order."""
-        rare = self.row[axes] < 0
-        cells = (axes[rare, None] * self.n_blocks + blocks[None, :]).ravel()
-        first = self.ends[cells].astype(np.int64)
-        sizes = self.ends[cells + 1] - first
-        held = sizes > 0
-        first, sizes = first[held], sizes[held]
-        take = np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
-        sums = np.bincount(self.doc[take], self.weight[take] * np.repeat(np.repeat(weights[rare], len(blocks))[held], sizes), minlength=len(frequent))
+            dense = self.kind[axes] == 0
+            held[i, self.row[axes[dense]]] = weights[dense]
+        sums = held @ self.dense
+        doc, weight, ends = self.scarce
+        for i, (axes, weights) in enumerate(vectors):
+            scarce = self.kind[axes] == 2
+            row = self.row[axes[scarce]]
+            take, sizes = _ranges(ends[row].astype(np.int64), ends[row + 1] - ends[row])
+            sums[i] += np.bincount(doc[take], weight[take] * np.repeat(weights[scarce], sizes), minlength=sums.shape[1])
+        return sums
+
+    def cosines(self, rows: np.ndarray, weights: np.ndarray, blocks: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of all examples in some blocks, from the axes between dense and scarce and what is known."""
+        cells = (rows[:, None] * self.n_blocks + blocks[None, :]).ravel()
+        take, sizes = _ranges(self.ends[cells].astype(np.int64), self.ends[cells + 1] - self.ends[cells])
+        sums = np.bincount(self.doc[take], self.weight[take] * np.repeat(np.repeat(weights, len(blocks)), sizes), minlength=len(known))
         examples = (blocks[:, None] * self.block + np.arange(self.block)[None, :]).ravel()
-        return examples, sums[examples] + frequent[examples]
+        return examples, sums[examples] + known[examples]
 
-    def nearest(self, axes: np.ndarray, weights: np.ndarray, k: int, without: int = -1, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, axes: np.ndarray, weights: np.ndarray, k: int, without: int = -1, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a positive cosine; equal cosines in example order."""
         axes = np.asarray(axes, np.int64)
-        frequent = self.frequent([(axes, weights)])[0] if frequent is None else frequent
-        bounds = weights @ self.most[axes]
+        known = self.known([(axes, weights)])[0] if known is None else known
+        middle = self.kind[axes] == 1
+        rows, weights = self.row[axes[middle]].astype(np.int64), weights[middle]
+        bounds = known.reshape(self.n_blocks, self.block).max(1) + weights @ self.most[rows]
         order = np.argsort(-bounds, kind="stable")
         docs, scores = np.zeros(0, np.int64), np.zeros(0)
         for blocks in (order[:FIRST], order[FIRST:]):
-            least = scores[-1] - 1e-12 if len(scores) == k else 0.0
+            least = scores[-1] - 1e-6 if len(scores) == k else 0.0
             blocks = blocks[(bounds[blocks] > 0) & (bounds[blocks] >= least)]
             if not len(blocks):
                 break
-            found, sums = self.cosines(axes, weights, np.sort(blocks), frequent)
+            found, sums = self.cosines(rows, weights, np.sort(blocks), known)
             keep = (sums > 0) & (found != without)
             docs, scores = np.concatenate([docs, found[keep]]), np.concatenate([scores, sums[keep]])
             near = np.flatnonzero(scores >= np.partition(scores, -k)[-k]) if len(scores) > k else np.arange(len(scores))
@@ -244,6 +256,11 @@ class BlockMaxIndex:
         return docs, scores
 
 
+def _ranges(first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges that begin at first, and the ranges' sizes."""
+    return np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes), sizes
+
+
 def fit_platt(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
     """Slope and intercept of a weighted logistic curve with slightly smoothed targets, by Newton steps."""
     targets = np.where(labels > 0, 0.99, 0.01)
@@ -265,7 +282,7 @@ class Model:
         rows = sorted(rows, key=lambda r: (r[1], r[0]))
         rows = [(i, y, np.asarray(a, np.int64), np.asarray(c, float)) for i, y, a, c in rows]
         self.k = k
-        self.weight = np.log((1 + total) / (1 + df)) * self.relevance(rows)
+        self.weight = (np.log((1 + total) / (1 + df)) * self.relevance(rows)).astype(np.float32)
         held = np.unique(np.concatenate([np.zeros(0, np.int64), *[r[2] for r in rows]]))
         self.place = np.full(AXES, -1, np.int32)
         self.place[held] = np.arange(len(held))
@@ -302,7 +319,9 @@ class Model:
         index = BlockMaxIndex(vectors, n_axes, len(vectors))
         cosines = np.zeros((SEEDS, index.n_blocks * index.block))
         for s, at in enumerate(np.linspace(0, len(vectors) - 1, SEEDS).astype(int)):
-            found, sums = index.cosines(*vectors[at], np.arange(index.n_blocks), index.frequent([vectors[at]])[0])
+            axes, weights = vectors[at]
+            middle = index.kind[axes] == 1
+            found, sums = index.cosines(index.row[axes[middle]].astype(np.int64), weights[middle], np.arange(index.n_blocks), index.known([vectors[at]])[0])
             cosines[s, found] = sums
         return np.argsort(cosines[:, : len(vectors)].argmax(0), kind="stable").tolist()
 
@@ -317,8 +336,9 @@ class Model:
         out = []
         for at in range(0, len(vectors), TOGETHER):
             part = vectors[at : at + TOGETHER]
-            for i, (v, frequent) in enumerate(zip(part, self.index.frequent(part)), at):
-                docs, cosines = self.index.nearest(*v, self.k, own[i] if own else -1, frequent)
+            for i, (v, known) in enumerate(zip(part, self.index.known(part)), at):
+                docs, cosines = self.index.nearest(*v, self.k, own[i] if own else -1, known)
+                cosines = cosines.round(9)  # sums may differ in their last digits with what is multiplied together
                 w = self.weights[docs] / (1.05 - np.minimum(cosines, 1.0))
                 out.append((float((w * self.labels[docs]).sum() / w.sum()) if len(docs) else self.prior, docs, cosines))
         return out
