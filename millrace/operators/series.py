@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import DIRECT, EXACT, quantile
+from ..functions.aggregates import DIRECT, EXACT, quantile, spread_quantile
 from ..functions.arithmetic import combine
 from ..sources.samples import Samples
 
@@ -23,7 +23,7 @@ def aggregate(rows: DataFrame, by: list[str], statistic: str, q: float | None =
         return rows.groupBy(*by).agg(F.var_pop(v).alias("value"))
     s = EXACT[statistic]
     states = rows.groupBy(*by).agg(*[f(v, t).alias(name) for name, f in s.build.items()])
-    return states.select(*by, s.read().alias("value")).filter(F.col("value").isNotNull())
+    return states.select(*by, s.read(None).alias("value")).filter(F.col("value").isNotNull())
 
 
 def _frequencies(rows: DataFrame, by: list[str], statistic: str) -> DataFrame:
@@ -51,7 +51,9 @@ def grouping(labels: tuple[str, ...], by: list[str] | None = None, without: list
 
 
 def across(rows: DataFrame, labels: tuple[str, ...], statistic: str, by: list[str] | None = None, without: list[str] | None = None, q: float | None = None) -> DataFrame:
-    """A statistic across series (rows with value), grouped by, without, or over all labels."""
+    """A statistic across series (rows with value), grouped by, without, or over all labels; quantiles for groups of any size."""
+    if statistic == "quantile":
+        return spread_quantile(rows, grouping(labels, by, without), q)
     return aggregate(rows, grouping(labels, by, without), statistic, q)
 
 
@@ -73,10 +75,11 @@ def nested(m: Samples, outer: str, inner: str, end: float, seconds: float, by: l
     return across(over_time(m, inner, end, seconds, q), m.labels, outer, by, without, q)
 
 
-def top(m: Samples, k: int, at: float, interval: float) -> DataFrame:
-    """The k series of the largest sums in the interval before at, with the metric's name; ties by labels."""
-    sums = at_instant(m, "sum", at, interval, by=list(m.labels))
-    return sums.orderBy(F.col("value").desc(), *m.labels).limit(k).select(F.lit(m.name).alias("__name__"), *m.labels, "value")
+def top(m: Samples, k: int, at: float, interval: float, statistic: str = "sum", q: float | None = None) -> DataFrame:
+    """The k series of the largest value of a statistic in the interval before at, with the metric's name; ties by labels."""
+    end = at // interval * interval
+    found = over_time(m, statistic, end, interval, q)
+    return found.orderBy(F.col("value").desc(), *m.labels).limit(k).select(F.lit(m.name).alias("__name__"), *m.labels, "value")
 
 
 def binary(left: DataFrame, right: DataFrame | float, op: str, on: list[str], reverse: bool = False) -> DataFrame:

@@ -1,76 +1,119 @@
 """Sketch summaries: quantiles (KLL), distinct counts (HLL), frequencies (count-min), top keys and keyed quantiles.
 
-KLL, HLL and top-k use Spark's own sketch aggregates. Count-min sketches are kept
-as rows (row, cell, total): they build, merge and answer by grouping and joining,
-so a sketch of any width spreads over tasks and never becomes one large value.
+KLL and HLL are statistics of functions.aggregates (`kll`, `hll`), built, merged,
+slid and read like any other; the functions here do so without windows. Sketches
+over keys are grids kept as rows (row, cell, state): cells() gives every sample one
+copy per row of the grid, and the states are a statistic by row and cell: sums
+for count-min, KLL sketches for keyed quantiles. So a grid merges by grouping,
+answers by joining, spreads over tasks and never becomes one large value; and
+windows, streams and summary tables hold it with row and cell among their groups.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KLL_K, DEPTH, WIDTH, HEAP = 200, 3, 1024, 4
+from ..functions.aggregates import HLL_BITS, KLL_K, Statistic, kll_statistic
+from . import windows
+
+DEPTH, WIDTH = 3, 1024
 
 
 def kll(rows: DataFrame, by: list[str], k: int = KLL_K) -> DataFrame:
-    return rows.groupBy(*by).agg(F.expr(f"kll_sketch_agg_double(value, {int(k)})").alias("sketch"))
+    return _build(rows, by, kll_statistic(k))
 
 
 def kll_merge(sketches: DataFrame, by: list[str]) -> DataFrame:
-    return sketches.groupBy(*by).agg(F.expr("kll_merge_agg_double(sketch)").alias("sketch"))
+    return windows.merge(sketches, by, "kll")
 
 
 def kll_quantile(sketches: DataFrame, keep: list[str], q: float) -> DataFrame:
-    return sketches.select(*keep, F.expr(f"kll_sketch_get_quantile_double(sketch, {float(q)}D)").alias("value"))
+    return windows.read(sketches, keep, "kll", q)
+
+
+def _build(rows: DataFrame, by: list[str], s: Statistic) -> DataFrame:
+    t = F.col("t") if "t" in rows.columns else F.lit(0.0)
+    return rows.groupBy(*by).agg(*[f(F.col("value"), t).alias(n) for n, f in s.build.items()])
 
 
-def distinct(rows: DataFrame, by: list[str], key: str) -> DataFrame:
-    return rows.groupBy(*by).agg(F.hll_sketch_agg(key).alias("sketch"))
+def distinct(rows: DataFrame, by: list[str], key: str, bits: int = HLL_BITS) -> DataFrame:
+    return rows.groupBy(*by).agg(F.hll_sketch_agg(key, bits).alias("hll"))
 
 
 def distinct_merge(sketches: DataFrame, by: list[str]) -> DataFrame:
-    return sketches.groupBy(*by).agg(F.hll_union_agg("sketch").alias("sketch"))
+    return windows.merge(sketches, by, "hll")
 
 
 def distinct_estimate(sketches: DataFrame, keep: list[str]) -> DataFrame:
-    return sketches.select(*keep, F.hll_sketch_estimate("sketch").alias("value"))
+    return windows.read(sketches, keep, "hll")
 
 
-def _cells(key: Column, depth: int, width: int) -> Column:
-    return F.explode(F.transform(F.sequence(F.lit(0), F.lit(depth - 1)), lambda r: F.struct(r.alias("row"), F.pmod(F.xxhash64(r, key), F.lit(width)).alias("cell"))))
+def _cell(row: Column | int, key: Column, width: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(row) if isinstance(row, int) else row, key), F.lit(width))
+
+
+def cells(rows: DataFrame, key: str, depth: int = DEPTH, width: int = WIDTH) -> DataFrame:
+    """rows once for each row of the grid, with the key's cell there instead of the key."""
+    spots = F.array(*[F.struct(F.lit(r).alias("row"), _cell(r, F.col(key), width).alias("cell")) for r in range(depth)])
+    rest = [c for c in rows.columns if c != key]
+    return rows.select(*rest, F.explode(spots).alias("_spot")).select(*rest, "_spot.row", "_spot.cell")
 
 
 def count_min(rows: DataFrame, by: list[str], key: str, depth: int = DEPTH, width: int = WIDTH, weight: str | None = "value") -> DataFrame:
     """(by, row, cell, total): sums of weight, or counts if weight is None, of every key's cell in each row.
 
-    Sums per key come first, so the copies for the rows are few.
+    Samples go to cells directly; each task adds up at most depth * width cells per group before the shuffle.
     """
-    amount = F.sum(weight) if weight else F.count(F.lit(1)).cast("double")
-    sums = rows.groupBy(*by, key).agg(amount.alias("total"))
-    return sums.select(*by, "total", _cells(F.col(key), depth, width).alias("c")).groupBy(*by, "c.row", "c.cell").agg(F.sum("total").alias("total"))
+    thin = rows.select(*by, key, (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_weight"))
+    return cells(thin, key, depth, width).groupBy(*by, "row", "cell").agg(F.sum("_weight").alias("total"))
 
 
 def count_min_merge(sketches: DataFrame, by: list[str]) -> DataFrame:
-    return sketches.groupBy(*by, "row", "cell").agg(F.sum("total").alias("total"))
+    return windows.merge(sketches, [*by, "row", "cell"], "sum")
 
 
 def count_min_estimate(sketch: DataFrame, keys: DataFrame, by: list[str], key: str, depth: int = DEPTH, width: int = WIDTH) -> DataFrame:
     """(by, key, value): the least total over the rows, for the keys (by, key) asked for."""
-    asked = keys.select(*by, key, _cells(F.col(key), depth, width).alias("c")).select(*by, key, "c.row", "c.cell")
+    asked = cells(keys.select(*by, key, F.col(key).alias("_key")), "_key", depth, width)
     return asked.join(sketch, [*by, "row", "cell"]).groupBy(*by, key).agg(F.min("total").alias("value"))
 
 
-def heavy_keys(rows: DataFrame, by: list[str], part: str, key: str, k: int, depth: int = DEPTH, width: int = WIDTH, heap: int = HEAP) -> DataFrame:
-    """(by, key, value) of the k largest keys by estimated sums: candidates are the heap * k largest of each part, estimates come from the merged sketch."""
-    from pyspark.sql import Window
+def heavy_keys(rows: DataFrame, by: list[str], key: str, k: int, depth: int = DEPTH, width: int = WIDTH, weight: str | None = "value", sketch: DataFrame | None = None) -> DataFrame:
+    """(by, key, value) of the k keys of each group with the largest estimates of a count-min sketch.
 
-    sums = rows.groupBy(*by, part, key).agg(F.sum("value").alias("total"))
-    rank = F.row_number().over(Window.partitionBy(*by, part).orderBy(F.col("total").desc(), key))
-    candidates = sums.withColumn("rank", rank).filter(F.col("rank") <= heap * k).select(*by, key).distinct()
-    found = count_min_estimate(count_min_merge(count_min(rows, [*by, part], key, depth, width), by), candidates, by, key, depth, width)
-    order = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("value").desc(), key)) if by else F.row_number().over(Window.orderBy(F.col("value").desc(), key))
-    return found.withColumn("rank", order).filter(F.col("rank") <= k)
+    One key of each of the k heaviest cells is looked at first: the least of their
+    estimates is a floor for the k-th largest of all. Samples then look their estimates up
+    in the grid (depth * width numbers a group) where they are; only keys that reach the
+    floor are grouped. So no key is missed, and only the grid and heavy keys are shuffled.
+    Weights are not negative.
+    """
+    sketch = count_min(rows, by, key, depth, width, weight) if sketch is None else sketch
+    entry = F.struct((F.col("row") * width + F.col("cell")).alias("at"), "total")
+    grids = sketch.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias("_grid"))
+    look = F.array_min(F.array(*[F.coalesce(F.element_at("_grid", (F.lit(r) * width + _cell(r, F.col(key), width)).cast("long")), F.lit(0.0)) for r in range(depth)]))
+    weights = (F.col(weight) if weight else F.lit(1.0)).cast("double")
+    heads = rows.groupBy(*by, _cell(0, F.col(key), width).alias("_cell")).agg(F.sum(weights).alias("_total"), F.max(key).alias(key))
+    groups = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    heads = heads.withColumn("_at", F.row_number().over(groups.orderBy(F.col("_total").desc(), "_cell"))).filter(F.col("_at") <= k)
+    floor = F.when(F.count(F.lit(1)) == k, F.min(look)).otherwise(F.lit(float("-inf")))
+    floors = _beside(heads, grids, by).groupBy(*by).agg(floor.alias("_floor"))
+    seen = _beside(_beside(rows.select(*by, key), grids, by), floors, by).withColumn("value", look)
+    heavy = seen.filter(F.col("value") >= F.col("_floor")).groupBy(*by, key).agg(F.max("value").alias("value"))
+    order = [F.col("value").desc(), key]
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order) if by else Window.partitionBy(F.lit(0)).orderBy(*order))
+    return heavy.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _beside(rows: DataFrame, per_group: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the columns of their group's one row; Spark broadcasts it only where its measured size allows."""
+    if not by:
+        return rows.withColumn("_one", F.lit(1)).join(F.broadcast(per_group.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    other = per_group.select(*[F.col(c).alias(f"_of_{c}") for c in by], *[c for c in per_group.columns if c not in by])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
+    return rows.join(other, same).drop(*[f"_of_{c}" for c in by])
 
 
 def top_keys(rows: DataFrame, key: str, k: int, parts: str) -> DataFrame:
@@ -80,16 +123,16 @@ def top_keys(rows: DataFrame, key: str, k: int, parts: str) -> DataFrame:
     return items.select(F.col("x.item").alias(key), F.col("x.count").alias("n"))
 
 
-def keyed_quantiles(rows: DataFrame, key: str, depth: int = DEPTH, width: int = 64, k: int = KLL_K) -> DataFrame:
-    """(row, cell, sketch): a grid of KLL sketches shared by all keys."""
-    return rows.select("value", _cells(F.col(key), depth, width).alias("c")).groupBy("c.row", "c.cell").agg(F.expr(f"kll_sketch_agg_double(value, {int(k)})").alias("sketch"))
+def keyed_quantiles(rows: DataFrame, key: str, depth: int = DEPTH, width: int = WIDTH, k: int = KLL_K, by: list[str] | None = None) -> DataFrame:
+    """(by, row, cell, kll): a grid of KLL sketches shared by all keys."""
+    return _build(cells(rows.select(*(by or []), "value", key), key, depth, width), [*(by or []), "row", "cell"], kll_statistic(k))
 
 
-def keyed_quantile(grid: DataFrame, keys: DataFrame, key: str, q: float, depth: int = DEPTH, width: int = 64) -> DataFrame:
+def keyed_quantile(grid: DataFrame, keys: DataFrame, key: str, q: float, depth: int = DEPTH, width: int = WIDTH) -> DataFrame:
     """(key, value): the median over the rows of the quantiles of the key's cells."""
-    asked = keys.select(key, _cells(F.col(key), depth, width).alias("c")).select(key, "c.row", "c.cell").join(grid, ["row", "cell"])
-    each = asked.select(key, F.expr(f"kll_sketch_get_quantile_double(sketch, {float(q)}D)").alias("v"))
-    return each.groupBy(key).agg(F.percentile("v", F.lit(0.5)).alias("value"))
+    asked = cells(keys.select(key, F.col(key).alias("_key")), "_key", depth, width)
+    each = windows.read(asked.join(grid, ["row", "cell"]), [key], "kll", q)
+    return each.groupBy(key).agg(F.percentile("value", F.lit(0.5)).alias("value"))
 
 
 def sampled(rows: DataFrame, by: list[str], rate: float, seed: int = 7) -> DataFrame:

@@ -1,21 +1,30 @@
-"""Which summary can answer a question, by metric, statistic, labels, window and filter."""
+"""Which stored summary can answer a question, by metric, statistic, labels, window and filter, and answering from it."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-#: Statistics that a stored kind of summary answers.
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import series, sketches, windows
+from ..operators.matchers import matching
+from ..sources import summary_table
+from ..sources.samples import Samples
+
+#: Kinds of stored summaries (statistics of functions.aggregates, and key sets) that answer a statistic.
 ANSWERS = {
-    "sum": {"sum"},
-    "count": {"count", "count_min"},
+    "sum": {"sum", "avg"},
+    "count": {"count", "avg"},
     "min": {"min"},
     "max": {"max"},
     "avg": {"avg"},
-    "quantile": {"kll", "keyed_kll"},
+    "stdvar": {"stdvar"},
+    "quantile": {"kll"},
     "rate": {"rate", "increase"},
     "increase": {"rate", "increase"},
-    "cardinality": {"keys", "hll"},
-    "topk": {"count_min_heap"},
+    "distinct": {"hll"},
+    "frequency": {"count_min"},
 }
 
 
@@ -44,3 +53,27 @@ def choose(summaries: list[Summary], metric: str, statistic: str, labels: frozen
     """The usable summary with the largest window, then the fewest labels; None means: compute from raw rows."""
     found = [s for s in summaries if usable(s, metric, statistic, labels, seconds, matchers)]
     return max(found, key=lambda s: (s.seconds, -len(s.labels), -s.agg_id), default=None)
+
+
+def answer(spark: SparkSession, path: str, raw: Samples, summaries: list[Summary], statistic: str, by: list[str], end: float, seconds: int, q: float | None = None, matchers: frozenset = frozenset(), keys: DataFrame | None = None) -> DataFrame:
+    """(by, value) of a statistic over [end - seconds, end), from the table at path if it holds a usable summary, else from raw samples.
+
+    frequency asks for the sums of the keys (key) given.
+    """
+    labels = frozenset(by)
+    s = choose(summaries, raw.name, statistic, labels, seconds, matchers)
+    if s is None or statistic != "frequency" and end % s.seconds:
+        if statistic == "frequency":
+            raise ValueError("no summary holds these frequencies")
+        rows = raw.rows.filter((F.col("t") >= end - seconds) & (F.col("t") < end))
+        for m in sorted(matchers):
+            rows = matching(rows, m)
+        return series.aggregate(rows, by, statistic, q)
+    kept = summary_table.in_range(summary_table.read(spark, path, s.agg_id), end - seconds, end)
+    for m in sorted(matchers - s.matchers):
+        kept = matching(kept, m)
+    if s.kind == "count_min":
+        return sketches.count_min_estimate(sketches.count_min_merge(kept, by), keys, by, "key")
+    reads = {("sum", "avg"): "sum", ("count", "avg"): "count", ("rate", "increase"): "rate", ("increase", "rate"): "increase"}
+    kind = reads.get((statistic, s.kind), s.kind)
+    return windows.read(windows.merge(kept, by, kind), by, kind, q)

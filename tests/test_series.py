@@ -103,7 +103,7 @@ def test_summary_table_round_trip_and_retention(spark, metric, tmp_path):
     assert summary_table.exactly(stored, 20, 30).count() == 1
     assert summary_table.earliest(stored).first()["earliest"] == 0.0
     assert {r["window_start"] for r in summary_table.keep_latest(stored, 1, 1).collect()} == {20.0}
-    reads = spark.createDataFrame([(0.0, 10.0, 2), (10.0, 20.0, 1)], "window_start double, window_end double, n int")
+    reads = spark.createDataFrame([(1, 0.0, 10.0, 2), (1, 10.0, 20.0, 1)], "agg_id int, window_start double, window_end double, n int")
     assert {r["window_start"] for r in summary_table.drop_read(stored, reads, 2).collect()} == {10.0, 20.0}
 
 
