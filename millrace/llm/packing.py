@@ -3,9 +3,10 @@
 Documents are cut into pieces of at most `length` ids without loss. Pieces are
 placed from the longest to the shortest, each in the fullest row that still has
 room for it. A segment tree over capacities finds that row's capacity in
-logarithmic time. Each packed row carries its ids as one binary (int32, little
-endian), the cumulative lengths of its segments, the documents and offsets the
-segments come from, and position ids that start anew with every segment.
+logarithmic time. Packed rows are rows of an id matrix: each carries `length` ids as
+one binary (int32, little endian), of which the first n_tokens are real and the rest
+PAD; as many position ids, which start anew with every segment; the cumulative
+lengths of its segments; and the documents and offsets the segments come from.
 
 Each task packs what it reads, WINDOW ids at a time, so nothing is shuffled and
 memory is bounded; at most the rows of one window's end stay partly filled.
@@ -22,6 +23,8 @@ from .common import bounded_arrow
 from .pieces import token_ids
 
 LENGTH, WINDOW = 2048, 1 << 21
+#: What fills ids, and positions, after the last segment of a row.
+PAD = 0
 SCHEMA = "row_key string, n_tokens int, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<long>, starts array<long>"
 
 
@@ -77,19 +80,40 @@ def best_fit(sizes: list[int], length: int) -> list[list[int]]:
     return rows
 
 
-def _packed(pieces: list[tuple], length: int, name: str):
+def _rows_of(matrix: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binaries of one length."""
+    width = matrix.shape[1] * matrix.itemsize
+    ends = np.arange(len(matrix) + 1, dtype=np.int32) * np.int32(width)
+    return pa.Array.from_buffers(pa.binary(), len(matrix), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(matrix))])
+
+
+def _packed(pieces: list[tuple], length: int, name: str, pad: int = PAD):
     """Record batches of packed rows; pieces are (doc_id, start in document, ids)."""
     rows = best_fit([len(p[2]) for p in pieces], length)
-    for at in range(0, len(rows), 512):
-        out = []
-        for k, row in enumerate(rows[at : at + 512], at):
-            parts = [pieces[i] for i in row]
-            sizes = [len(p[2]) for p in parts]
-            ids = np.concatenate([p[2] for p in parts]).astype("<i4")
-            positions = np.concatenate([np.arange(n) for n in sizes]).astype("<i4")
-            out.append((f"{name}-{k}", len(ids), ids.tobytes(), np.cumsum([0, *sizes]).tolist(), positions.tobytes(), [p[0] for p in parts], [p[1] for p in parts]))
-        kinds = (pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[f.split()[0] for f in SCHEMA.split(", ")])
+    most = max(1, min(512, (64 << 20) // (8 * length)))
+    steps = np.arange(length, dtype="<i4")
+    for at in range(0, len(rows), most):
+        part = rows[at : at + most]
+        ids, positions = np.full((len(part), length), pad, "<i4"), np.full((len(part), length), PAD, "<i4")
+        ends = []
+        for k, row in enumerate(part):
+            n, cu = 0, [0]
+            for i in row:
+                held = pieces[i][2]
+                ids[k, n : n + len(held)] = held
+                positions[k, n : n + len(held)] = steps[: len(held)]
+                n += len(held)
+                cu.append(n)
+            ends.append(cu)
+        columns = [
+            pa.array([f"{name}-{k}" for k in range(at, at + len(part))], pa.string()),
+            pa.array([cu[-1] for cu in ends], pa.int32()),
+            _rows_of(ids),
+            pa.array(ends, pa.list_(pa.int32())),
+            _rows_of(positions),
+            *[pa.array([[pieces[i][c] for i in row] for row in part], pa.list_(pa.int64())) for c in (0, 1)],
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in SCHEMA.split(", ")])
 
 
 def _windows(docs_ids, length: int, window: int, name: str):
@@ -107,9 +131,12 @@ def _windows(docs_ids, length: int, window: int, name: str):
 def packed_documents(docs: DataFrame, model: str, end_id: int | None = 2, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
     """Packed rows of all documents' ids, each document closed by end_id.
 
-    row_key names the task, its window and the row in it. A null or empty text is
-    its end_id alone, or nothing if that is None. Repeated rows are packed as often
-    as they occur; null ids are carried as null. An empty table gives no rows.
+    row_key names the task, its window and the row in it: reading the same files in
+    the same splits again gives the same rows, other splits pack the same documents
+    into other rows. A null or empty text is its end_id alone, or nothing if that is
+    None. A very long text is cut into pieces and loses nothing. Repeated rows are
+    packed as often as they occur; null ids are carried as null. An empty table gives
+    no rows. Other columns are ignored, whatever their names.
     """
     bounded_arrow(docs.sparkSession)
     end = np.array([] if end_id is None else [end_id], np.int32)
@@ -138,5 +165,11 @@ def packed_ids(tokens: DataFrame, length: int = LENGTH, window: int = WINDOW) ->
 
 
 def write_packed(rows: DataFrame, path: str) -> None:
-    """Write packed rows as Parquet: binary id rows with their segments and positions."""
+    """Write packed rows as Parquet, whose binaries hold one row of each matrix; no rows give a table without rows."""
     rows.write.parquet(path)
+
+
+def matrices(rows: pa.Table, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The id matrix and the position matrix of packed rows read back as Arrow, one row each of `length` columns."""
+    of = lambda name: np.frombuffer(b"".join(rows.column(name).to_pylist()), "<i4").reshape(-1, length)
+    return of("ids"), of("positions")

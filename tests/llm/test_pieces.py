@@ -100,7 +100,8 @@ def test_packed_rows_give_every_document_back(spark, edge, nothing):
     parts: dict = {}
     for r in rows:
         ids, places, cuts = np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["positions"], "<i4"), r["cu_seqlens"]
-        assert cuts[0] == 0 and cuts[-1] == len(ids) == r["n_tokens"] <= 256
+        assert cuts[0] == 0 and cuts[-1] == r["n_tokens"] <= 256 == len(ids) == len(places)
+        assert not ids[cuts[-1] :].any() and not places[cuts[-1] :].any()
         for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
             assert places[a:b].tolist() == list(range(b - a))
             parts.setdefault((r["doc_ids"][k], r["starts"][k]), []).append(ids[a:b].tolist())
@@ -114,3 +115,14 @@ def test_packed_rows_give_every_document_back(spark, edge, nothing):
     assert packing.packed_documents(nothing, piece_model()).count() == 0
     some = spark.createDataFrame([(1, [5, 6, 7]), (2, None)], "doc_id long, ids array<int>")
     assert [r["doc_ids"] for r in packing.packed_ids(some, 2).collect()] == [[1], [1]]
+
+
+def test_matrices_read_back(spark, edge, tmp_path):
+    rows = packing.packed_documents(edge, piece_model(), 2, length=128)
+    packing.write_packed(rows, f"{tmp_path}/packed")
+    table = spark.read.parquet(f"{tmp_path}/packed").toArrow()
+    ids, positions = packing.matrices(table, 128)
+    assert ids.shape == positions.shape == (table.num_rows, 128)
+    for row, place, cuts in zip(ids, positions, table.column("cu_seqlens").to_pylist()):
+        assert all(place[a:b].tolist() == list(range(b - a)) for a, b in zip(cuts, cuts[1:]))
+        assert all(row[b - 1] == 2 for a, b in zip(cuts, cuts[1:]) if b - a < 128)
