@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import column_or_null, cut, id_or_zero, n_words, once_each, row_key
 
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, 42
+#: Copies of one row that one task writes out.
+PIECE = 64
 #: Rank offsets go to executors as a broadcast up to so many rows, and by a shuffle join beyond.
 BROADCAST_ROWS = 20_000
 
@@ -47,10 +49,11 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 def copies(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """rows (source, size, doc_id, ...) with source_size, target and the copies taken of each.
 
-    Ranks come from one range partitioning by (source, size, hash): a source of any
-    size spreads over many partitions, and only per-partition counts are combined.
+    Ranks come from one range partitioning by (source, size, hash of the id, hash of the
+    row): a source of any size spreads over many partitions, also where its ids are null
+    or all the same, and only per-partition counts are combined.
     """
-    order = [F.col("source").asc_nulls_first(), F.col("size"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))]
+    order = [F.col("source").asc_nulls_first(), F.col("size"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), *[F.col(c) for c in ("_row",) if c in rows.columns]]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = cut(placed.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
     parts = placed.groupBy("source", "_part").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_first"), F.sum("size").alias("words"))
@@ -80,17 +83,34 @@ def mix_table(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = M
     Texts are only counted, never shuffled. A null text has no words; a null source
     is a source of its own; a source without words has target 0 and is not taken.
     The same rows give the same mix, however they are stored. Rows that repeat each
-    other may be taken differently. An empty table gives no rows.
+    other may be taken differently. Very long texts count whole; of documents of one
+    size those with the lesser hash of id and row come first. An empty table gives no
+    rows. Other columns are ignored, whatever their names.
     """
     return copies(_thin(docs), weights, most, seed).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """The mix itself: docs' columns, every row as often as it is taken."""
+    """The mix itself: docs' columns, every row as often as it is taken.
+
+    Repeats of one row are counted, not moved: they travel as one row with their number
+    and are dealt over tasks again, PIECE copies at a time, before they are written out.
+    Null, empty and very long texts and an empty table are as in mix_table.
+    """
     taken = copies(_thin(docs), weights, most, seed).groupBy("doc_id", "_row").agg(F.sum("copies").alias("copies")).filter("copies > 0")
     taken = taken.select(id_or_zero(F.col("doc_id")).alias("_id"), F.col("_row").alias("_key"), "copies")
-    rows = once_each(docs).join(taken, ["_id", "_key"])
-    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")).select("row.*")
+    taken = cut(taken)
+    out = _repeated(once_each(docs).join(taken.filter(F.col("copies") <= PIECE), ["_id", "_key"]).select("row", "copies"))
+    often = taken.filter(F.col("copies") > PIECE)
+    if not often.isEmpty():
+        pieces = F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(PIECE).cast("long")), lambda i: F.least(F.col("copies") - i, F.lit(PIECE).cast("long")))
+        dealt = once_each(docs).join(often, ["_id", "_key"]).select("row", F.explode(pieces).alias("copies"))
+        out = out.unionByName(_repeated(dealt.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    return out.select("row.*")
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")).select("row")
 
 
 ORACLE = r"""

@@ -207,9 +207,10 @@ def letters(seed, n):
 
 @pytest.mark.parametrize("text", ["Authorization: Bearer {} and go on", "private_key={} and go on"])
 def test_long_secrets_are_reported_whole(text):
-    for n in (512, 513, 5000):
+    for n in (512, 513, 900, 5000, 100_000):
         found = text.format(letters(n, n))
-        assert secret_scan.redact(found, secret_scan.scan(found)) == text.format("[SECRET]")
+        spans = secret_scan.scan(found)
+        assert secret_scan.redact(found, spans) == text.format("[SECRET]") and len([s for s in spans if s[1] == 3]) == 1
     plain = text.format("configuration_default_" * 100)
     assert secret_scan.redact(plain, secret_scan.scan(plain)) == plain
 
@@ -245,3 +246,18 @@ def test_redaction_keeps_the_rest(spark, edge):
 def test_identifiers_are_counted_by_document(spark):
     df = spark.createDataFrame([(i, "use my_config_name twice my_config_name and rareName" if i < 6 else "otherName") for i in range(8)], "doc_id long, text string")
     assert secret_scan.identifiers(df) == ["my_config_name", "rareName"]
+
+
+def test_many_repeats_of_one_row_are_all_mixed(spark):
+    rows = [(1, "a b c", "x")] * 500 + [(i, "d e f", "x") for i in range(2, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = mixing.mixed(docs)
+    taken = mixing.mix_table(docs).groupBy("doc_id").agg((F.sum("taken") / 3).cast("long").alias("n"))
+    assert {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()} == {r["doc_id"]: r["n"] for r in taken.collect() if r["n"]}
+
+
+def test_equal_ids_and_sizes_are_ordered_by_their_rows(spark):
+    rows = [(None, f"w{i} x", s, i) for s in "ab" for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    first, again = (sorted(r["n"] for r in mixing.mixed(x, weights=(3, 1)).collect()) for x in (docs, docs.repartition(7)))
+    assert first == again
