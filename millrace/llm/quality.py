@@ -2,13 +2,13 @@
 
 Words and runs of signs of a text, and pairs of neighbours, are hashed into
 BUCKETS cells. Counts over the cells give two multinomials: one of all documents,
-one of trusted documents (those labelled good, at most TRUSTED of them, in hash
-order). A document's score is the mean log ratio of the two over its cells; it is
+one of all trusted documents (those labelled good). A document's score is the mean log ratio of the two over its cells; it is
 kept if the base rules pass and the score reaches THRESHOLD. The decision depends
 on the document and the counts alone.
 
 Everything runs in DataFrame functions. Only the BUCKETS counts visit the driver,
-and only the trusted ids are broadcast; both are of fixed size.
+a fixed number; trusted ids are joined by a shuffle unless Spark measures them to be
+few enough to broadcast.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE
 
-BUCKETS, TRUSTED, THRESHOLD = 1 << 14, 20_000, -0.4
+BUCKETS, THRESHOLD = 1 << 14, -0.4
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]+"
 
@@ -97,10 +97,9 @@ def tokens() -> Column:
     return F.regexp_extract_all(_text(), F.lit(TOKEN), F.lit(0))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> np.ndarray:
+def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Log ratio of trusted to raw probability per cell, with one added to every count; zeros if nothing is trusted."""
-    ids = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted)
-    ids = F.broadcast(ids.select(F.col("doc_id").alias("_q_id"), F.lit(1).alias("_q_good")))
+    ids = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_q_id"), F.lit(1).alias("_q_good")).distinct()
     grams = docs.select("doc_id", tokens().alias("_q_tokens")).join(ids, F.col("doc_id") == F.col("_q_id"), "left")
     grams = grams.select(F.coalesce("_q_good", F.lit(0)).alias("good"), F.explode(cells(F.col("_q_tokens"))).alias("cell"))
     counts = np.zeros((2, BUCKETS))
@@ -117,13 +116,15 @@ def mean_ratio(held: Column, ratios: Column) -> Column:
     return F.when(F.size(held) > 0, F.aggregate(held, F.lit(0.0), lambda acc, c: acc + F.get(ratios, c)) / F.size(held)).otherwise(0.0)
 
 
-def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted: int = TRUSTED) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with the base columns, `_q_score` and `_q_kept`.
 
     Null and empty texts have no words, score 0 and fail the base rules. Repeated rows
-    get the same verdict each. Columns of docs other than text and doc_id pass through.
+    get the same verdict each. Whole texts count, however long; a score equal to the
+    threshold is kept; an empty table gives no rows. Columns of docs pass through, but for
+    those whose names begin with _q_, which are overwritten.
     """
-    ratios = F.lit(log_ratios(docs, labels, trusted))
+    ratios = F.lit(log_ratios(docs, labels))
     df = base(docs).withColumn("_q_tokens", tokens()).withColumn("_q_cells", cells(F.col("_q_tokens")))
     return df.withColumn("_q_score", mean_ratio(F.col("_q_cells"), ratios)).withColumn("_q_kept", ~F.col("_q_base_failed") & (F.col("_q_score") >= F.lit(float(threshold))))
 
@@ -135,7 +136,11 @@ def quality_table(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows that the base rules or the score reject."""
+    """docs without the rows that the base rules or the score reject.
+
+    Null and empty texts are rejected; repeated rows stay or go together; without trusted
+    documents the base rules decide alone. Columns of any name pass through unchanged.
+    """
     ratios = F.lit(log_ratios(docs, labels))
     good = ~let(words_of_text(), lambda w: fails(F.size(w), repeated_words(w)))
     likely = let(tokens(), lambda t: let(cells(t), lambda c: mean_ratio(c, ratios))) >= F.lit(float(threshold))
