@@ -29,12 +29,15 @@ def bounded_arrow(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the cluster's checkpoint folder and go on from the written copy.
 
-    The folder comes from spark.checkpoint.dir; only where that is unset, as in
-    local tests, a temporary folder is named here.
+    The folder comes from spark.checkpoint.dir; only on one machine, as in local tests,
+    where that is unset, a temporary folder is named here.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="millrace-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-"))
     return df.checkpoint(eager=True)
 
 

@@ -68,7 +68,11 @@ def shuffled(docs: DataFrame, shards: int = 8, seed: int = SEED, bucket_bytes: i
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = SEED) -> None:
-    """Write the shuffled rows as Parquet, one folder `shard=k` each, in slot order within a file."""
+    """Write the shuffled rows as Parquet, one folder `shard=k` each, in slot order within a file.
+
+    Rows of docs with null, empty or very long texts and repeated rows are written like
+    any other; an empty table writes none. docs may not have columns shard or _slot.
+    """
     rows = shuffled(docs, shards, seed).select("row.*", F.col("shard").alias("shard"), F.col("slot").alias("_slot"))
     rows.sortWithinPartitions("shard", "_slot").write.partitionBy("shard").parquet(path)
 
