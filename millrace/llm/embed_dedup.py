@@ -8,8 +8,8 @@ The top of each label's cover tree is laid over a bounded sample: nested levels
 centres, radius 2, 1, 1/2, ..., each centre of a level within that level's radius of
 one above. All points then go to their nearest centre at its foot, and what a node
 covers is measured over all points, so pruning is exact whatever the sample held.
-Below, the points of a foot (parted into rings by distance to the centre, and into
-blocks of at most LEAF) get a tree of their own each, over all of them: radii go on
+Below, the points of a foot (those of a foot with over LEAF parted into rings by
+distance to the centre, and into blocks of about LEAF) get a tree of their own each, over all of them: radii go on
 being halved down to half the link distance.
 
 The traversal goes down pairs of nodes from (root, root) and drops a pair as soon as
@@ -295,7 +295,9 @@ def links(points: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sizes = points.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("points"))
     sizes = cut(sizes.withColumn("leaves", F.least(F.lit(LEAVES), F.ceil(F.col("points") / LEAF)).cast("int")))
     trees = cut(_trees(points, sizes))
-    placed = cut(_assigned(points, sizes, trees).withColumn("ring", F.floor(F.col("dist") / RING).cast("int")))
+    placed = cut(_assigned(points, sizes, trees))
+    held = placed.groupBy("label", "dim", "leaf").agg(F.count(F.lit(1)).alias("held"))
+    placed = placed.join(held, ["label", "dim", "leaf"]).withColumn("ring", F.when(F.col("held") > LEAF, F.floor(F.col("dist") / RING)).otherwise(0).cast("int"))
     spot = ["label", "dim", "leaf", "ring"]
     rings = placed.groupBy(*spot).agg(F.count(F.lit(1)).alias("rows"), F.min("dist").alias("nearest"), F.max("dist").alias("farthest"))
     rings = cut(rings.withColumn("chunks", F.ceil(F.col("rows") / LEAF).cast("int")))
