@@ -30,6 +30,8 @@ from .common import as_rows, bounded_arrow, cut
 WORDS, GRAMS, LONGEST = 160_000, 240_000, 4
 #: Word counts that a task holds before it hands them on; scores (one for each language of a word) that a worker remembers.
 HELD, REMEMBERED = 100_000, 1_000_000
+#: A table of at most so many words times languages is laid out in full, for speed; a larger one holds what languages have.
+CELLS = 4_000_000
 SMOOTH = 0.5
 UNKNOWN = "und"
 #: Texts without code points from here on need only the letters before it.
@@ -138,18 +140,25 @@ class LanguageModel:
         self.grams = self._table(grams)
 
     def _table(self, rows: list[tuple]) -> tuple:
-        """(place by word, ends, languages, log frequencies, log frequency of what a language lacks)."""
+        """(place by word, ends, languages, log frequencies, log frequency of what a language lacks, all of them as a matrix if it is small)."""
         lang = {x: i for i, x in enumerate(self.langs)}
         ends = np.cumsum([0, *[len(langs) for _, langs, _ in rows]]).astype(np.int32)
         which = np.array([lang[x] for _, langs, _ in rows for x in langs], np.int32)
         counts = np.array([n for _, _, ns in rows for n in ns], float)
         total = np.log(np.maximum(np.bincount(which, counts, len(lang)) + SMOOTH * len(rows), SMOOTH)) if lang else np.zeros(0)
-        return {word: i for i, (word, _, _) in enumerate(rows)}, ends, which, (np.log(counts + SMOOTH) - total[which]).astype(np.float32), (np.log(SMOOTH) - total).astype(np.float32)
+        logs, none = (np.log(counts + SMOOTH) - total[which]).astype(np.float32), (np.log(SMOOTH) - total).astype(np.float32)
+        full = None
+        if len(rows) * len(lang) <= CELLS:
+            full = np.tile(none, (len(rows), 1))
+            full[np.repeat(np.arange(len(rows)), np.diff(ends)), which] = logs
+        return {word: i for i, (word, _, _) in enumerate(rows)}, ends, which, logs, none, full
 
     @staticmethod
     def _mean(table: tuple, places: list[int]) -> np.ndarray:
         """Mean log frequencies per language of some rows of a table."""
-        _, ends, which, logs, none = table
+        _, ends, which, logs, none, full = table
+        if full is not None:
+            return full[places[0]] if len(places) == 1 else full[places].mean(0)
         total = none * np.float32(len(places))
         for p in places:
             a, b = ends[p], ends[p + 1]

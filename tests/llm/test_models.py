@@ -154,7 +154,9 @@ def test_what_the_model_keeps_is_bounded_and_has_all_counts(tongues):
     assert all(dict(zip(langs, ns)) == everything[w] for w, langs, ns in kept)
 
 
-def test_language_scores_equal_brute_force(tongues):
+@pytest.mark.parametrize("cells", [0, langid.CELLS])
+def test_language_scores_equal_brute_force(tongues, monkeypatch, cells):
+    monkeypatch.setattr(langid, "CELLS", cells)
     rows = {r["doc_id"]: r for r in tongues.collect()}
     learned = [r for r in rows.values() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
     langs = sorted({r["lang"] for r in learned})
