@@ -64,7 +64,8 @@ def shuffled(docs: DataFrame, shards: int = 8, seed: int = SEED, bucket_bytes: i
     before = Window.orderBy("_bucket", "_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_bucket", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
     out = keyed.select("row").schema.add("shard", "integer").add("slot", "long")
-    return keyed.groupBy("_bucket", "_part").cogroup(starts.groupBy("_bucket", "_part")).applyInArrow(_permuted(shards, seed, out), out)
+    dealt = lambda df: df.repartition(n, "_bucket", "_part").groupBy("_bucket", "_part")  # noqa: E731  as many partitions as buckets, so tasks stay small
+    return dealt(keyed).cogroup(dealt(starts)).applyInArrow(_permuted(shards, seed, out), out)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = SEED) -> None:
