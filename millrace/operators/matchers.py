@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MATCHERS = {
@@ -23,3 +23,9 @@ def matching(rows: DataFrame, *matchers: tuple[str, str, str]) -> DataFrame:
 def normal_filter(text: str) -> str:
     """A filter text without braces, its parts stripped and sorted."""
     return ",".join(sorted(p.strip() for p in text.strip().strip("{}").split(",") if p.strip()))
+
+
+def normal_filters(text: Column) -> Column:
+    """normal_filter of a column of filter texts."""
+    parts = F.split(F.regexp_replace(F.trim(text), r"^[{}]+|[{}]+$", ""), ",")
+    return F.array_join(F.array_sort(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")), ",")

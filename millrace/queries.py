@@ -17,7 +17,7 @@ from .functions.aggregates import Statistic, kll_statistic, spread_quantile
 from .operators import matchers, series, sketches, windows
 from .plans import matching
 from .sources import summary_table
-from .sources.samples import Samples, samples
+from .sources.samples import Samples, read_samples, samples
 from .streaming import windows as streams
 
 DAY = 86400.0
@@ -514,6 +514,41 @@ def stream_delta_sets(s: SparkSession, d: str) -> DataFrame:
 
 add("stream_delta_sets", stream_delta_sets, _CHANGES)
 
+# Samples from files of other formats, of one metric of a shared table
+
+
+def _from_files(kind: str) -> Query:
+    def query(s: SparkSession, d: str) -> DataFrame:
+        path = f"{_folder(s)}/{kind}"
+        shared = table(s, d, "events").select("event_type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"), "value", F.when(F.col("event_type") == "purchase", "sales").otherwise("visits").alias("metric"))
+        shared.write.format(kind).save(path)
+        m = read_samples(s, path, "at", "value", ["event_type"], kind, "rfc3339", "event_type string, at string, value double, metric string", ("metric", "visits"))
+        return rounded(series.aggregate(m.rows, ["event_type"], "sum"))
+
+    return query
+
+
+for _name in ("json", "csv", "orc", "parquet"):
+    add(f"source_{_name}", _from_files(_name), "SELECT event_type, round(sum(value), 4) AS value FROM events WHERE event_type <> 'purchase' GROUP BY ALL")
+add(
+    "filter_normal_form",
+    lambda s, d: table(s, d, "events").select(matchers.normal_filters(F.format_string(' { user="%s" , event="%s",, } ', F.col("user_id").cast("string"), F.col("event_type"))).alias("filter")).groupBy("filter").agg(F.count(F.lit(1)).alias("n")),
+    """SELECT 'event="' || event_type || '",user="' || user_id || '"' AS filter, count(*) AS n FROM events GROUP BY ALL""",
+)
+
+
+def stream_late(s: SparkSession, d: str) -> DataFrame:
+    """Events in three micro-batches that are not in order of time: late samples are forwarded as further partial rows."""
+    folder = _folder(s)
+    rows = table(s, d, "events").select("event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "value", F.pmod(F.xxhash64("event_id"), F.lit(3)).alias("batch"))
+    rows.repartition(3, "batch").write.partitionBy("batch").parquet(f"{folder}/in")
+    stream = s.readStream.schema("event_type string, t double, value double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+    streams.append_summaries(stream, ["event_type"], "avg", DAY, f"{folder}/table", 1, f"{folder}/checkpoint").awaitTermination()
+    return rounded(windows.read(windows.merge(summary_table.read(s, f"{folder}/table", 1), ["event_type", "window_start"], "avg"), ["event_type", "window_start"], "avg"), 8)
+
+
+add("stream_late_forwarded", stream_late, f"SELECT event_type, {_START} AS window_start, round(avg(value), 8) AS value FROM events GROUP BY ALL")
+
 # Questions answered from whichever stored summary can; from raw rows, if none can
 
 
@@ -574,7 +609,7 @@ for _name, _text, _tables in (
     ("regexp_replace", "SELECT regexp_replace(o_orderpriority, '^([0-9])-.*$', 'p') AS k, count(*) AS n, min(o_orderpriority) AS least FROM {orders} GROUP BY 1", ("orders",)),
     ("group_sum", "SELECT l_returnflag AS id1, sum(l_linenumber) AS v1 FROM {lineitem} GROUP BY l_returnflag ORDER BY id1", ("lineitem",)),
     ("group_sum_two", "SELECT l_returnflag AS id1, l_linestatus AS id2, sum(l_linenumber) AS v1 FROM {lineitem} GROUP BY l_returnflag, l_linestatus ORDER BY id1, id2", ("lineitem",)),
-    ("group_sum_mean", "SELECT l_partkey AS id3, sum(l_linenumber) AS v1, round(avg(l_extendedprice), 2) AS v3 FROM {lineitem} GROUP BY l_partkey", ("lineitem",)),
+    ("group_sum_mean", "SELECT l_partkey AS id3, sum(l_linenumber) AS v1, round(avg(l_extendedprice), 8) AS v3 FROM {lineitem} GROUP BY l_partkey", ("lineitem",)),
     ("group_means", "SELECT l_linenumber AS id4, round(avg(l_quantity), 4) AS v1, round(avg(l_discount), 6) AS v2, round(avg(l_extendedprice), 4) AS v3 FROM {lineitem} GROUP BY l_linenumber", ("lineitem",)),
     ("group_sums", "SELECT l_orderkey AS id6, sum(l_linenumber) AS v1, round(sum(l_quantity), 4) AS v2, round(sum(l_extendedprice), 2) AS v3 FROM {lineitem} GROUP BY l_orderkey", ("lineitem",)),
     ("group_median", "SELECT l_linenumber AS id4, l_suppkey AS id5, round(median(l_extendedprice), 4) AS median_v3, round(stddev_samp(l_extendedprice), 4) AS sd_v3 FROM {lineitem} GROUP BY l_linenumber, l_suppkey", ("lineitem",)),

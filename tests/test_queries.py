@@ -9,7 +9,7 @@ from millrace import queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHOSEN = ["temporal_entropy_over_time", "temporal_rate", "spatial_sum_without", "spatial_topk", "spatial_of_temporal_avg_quantile", "binary_nested", "range_rate", "range_quantile", "window_sliding_sum", "summary_merge_rate", "delta_set_added_removed", "retention_circular", "sql_nested", "filter_nre", "stream_tumbling", "stream_closed_windows", "fallback_limit_by", "quantile_summary", "window_sliding_quantile", "range_quantile_summary", "hll_distinct", "cms_heap_topk", "hydra_kll", "planned_sum", "planned_quantile", "stream_quantile", "stream_delta_sets", "retention_read_based", "topk_avg"]
+CHOSEN = ["temporal_entropy_over_time", "temporal_rate", "spatial_sum_without", "spatial_topk", "spatial_of_temporal_avg_quantile", "binary_nested", "range_rate", "range_quantile", "window_sliding_sum", "summary_merge_rate", "delta_set_added_removed", "retention_circular", "sql_nested", "filter_nre", "stream_tumbling", "stream_closed_windows", "fallback_limit_by", "quantile_summary", "window_sliding_quantile", "range_quantile_summary", "hll_distinct", "cms_heap_topk", "hydra_kll", "planned_sum", "planned_quantile", "stream_quantile", "stream_delta_sets", "retention_read_based", "topk_avg", "source_json", "source_csv", "filter_normal_form", "stream_late_forwarded"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 
