@@ -109,7 +109,7 @@ def quantile(value: Column, q: float) -> Column:
     return F.percentile(value, F.lit(q))
 
 
-def spread_quantile(rows: DataFrame, by: list[str], q: float, parts: int = 256) -> DataFrame:
+def spread_quantile(rows: DataFrame, by: list[str], q: float, parts: int = 64) -> DataFrame:
     """(by, value): exact quantiles with linear interpolation for groups of any size; no task holds a group's values.
 
     Approximate quantiles part each group; counts of the parts tell which of them hold

@@ -86,27 +86,33 @@ def heavy_keys(rows: DataFrame, by: list[str], key: str, k: int, depth: int = DE
 
     One key of each of the k heaviest cells is looked at first: the least of their
     estimates is a floor for the k-th largest of all. Samples then look their estimates up
-    in the grid (depth * width numbers a group) where they are; only keys that reach the
-    floor are grouped. So no key is missed, and only the grid and heavy keys are shuffled.
-    Weights are not negative.
+    in the grid (depth * width numbers a group), one join per row of it, which Spark
+    broadcasts where it measures it to be small; only keys that reach the floor are
+    grouped. So no key is missed, and only the grid and heavy keys are shuffled. Weights
+    are not negative.
     """
     sketch = count_min(rows, by, key, depth, width, weight) if sketch is None else sketch
-    entry = F.struct((F.col("row") * width + F.col("cell")).alias("at"), "total")
-    grids = sketch.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias("_grid"))
-    look = F.array_min(F.array(*[F.coalesce(F.element_at("_grid", (F.lit(r) * width + _cell(r, F.col(key), width)).cast("long")), F.lit(0.0)) for r in range(depth)]))
     weights = (F.col(weight) if weight else F.lit(1.0)).cast("double")
     heads = rows.groupBy(*by, _cell(0, F.col(key), width).alias("_cell")).agg(F.sum(weights).alias("_total"), F.max(key).alias(key))
     groups = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     heads = heads.withColumn("_at", F.row_number().over(groups.orderBy(F.col("_total").desc(), "_cell"))).filter(F.col("_at") <= k)
-    floor = F.when(F.count(F.lit(1)) == k, F.min(look)).otherwise(F.lit(float("-inf")))
-    floors = _beside(heads, grids, by).groupBy(*by).agg(floor.alias("_floor"))
-    seen = _beside(_beside(rows.select(*by, key), grids, by), floors, by).withColumn("value", look)
+    floor = F.when(F.count(F.lit(1)) == k, F.min("value")).otherwise(F.lit(float("-inf")))
+    floors = _looked_up(heads.select(*by, key), sketch, by, key, depth, width).groupBy(*by).agg(floor.alias("_floor"))
+    seen = _beside(_looked_up(rows.select(*by, key), sketch, by, key, depth, width), floors, by)
     heavy = seen.filter(F.col("value") >= F.col("_floor")).groupBy(*by, key).agg(F.max("value").alias("value"))
-    order = [F.col("value").desc(), key]
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order) if by else Window.partitionBy(F.lit(0)).orderBy(*order))
+    rank = F.row_number().over(groups.orderBy(F.col("value").desc(), key))
     return heavy.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def _looked_up(rows: DataFrame, sketch: DataFrame, by: list[str], key: str, depth: int, width: int) -> DataFrame:
+    """rows with the sketch's estimate of their key as value."""
+    totals = [f"_total_{r}" for r in range(depth)]
+    for r, name in enumerate(totals):
+        side = sketch.filter(F.col("row") == r).select(*by, F.col("cell").alias("_cell"), F.col("total").alias(name))
+        rows = rows.withColumn("_cell", _cell(r, F.col(key), width)).join(side, [*by, "_cell"]).drop("_cell")
+    return rows.withColumn("value", F.array_min(F.array(*totals))).drop(*totals)
+
+
 def _beside(rows: DataFrame, per_group: DataFrame, by: list[str]) -> DataFrame:
     """rows with the columns of their group's one row; Spark broadcasts it only where its measured size allows."""
     if not by:
